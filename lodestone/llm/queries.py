@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import simhash
+from lodestone.llm import simhash, winnowing
 from lodestone.llm._shared import read
 
 
@@ -14,8 +14,13 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op10_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
+    "op10_winnowing_decontamination": op10_winnowing_decontamination,
 }
 
 SQL: dict[str, str] = {}
