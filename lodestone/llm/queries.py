@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import simhash, winnowing
+from lodestone.llm import simhash, suffix_repeats, winnowing
 from lodestone.llm._shared import read
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_repeats.remove_repeats(read(spark, sf_dir, "documents")).drop("spans")
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -19,6 +23,7 @@ def op10_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op10_winnowing_decontamination": op10_winnowing_decontamination,
 }
