@@ -5,11 +5,21 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lodestone.llm import simhash, suffix_repeats, winnowing
+from lodestone.llm import language, line_chunks, simhash, suffix_repeats, toxicity, winnowing
 from lodestone.llm._shared import read
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judged(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op2_line_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_chunks.dedup_lines(read(spark, sf_dir, "documents"))
+    return kept.select("doc_id", *line_chunks.STATS, F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_repeats.remove_repeats(read(spark, sf_dir, "documents")).drop("spans")
 
@@ -18,13 +28,21 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return language.identify(docs, language.train(docs))
+
+
 def op10_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
+    "op2_line_chunk_dedup": op2_line_chunk_dedup,
     "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
+    "op9_language_id": op9_language_id,
     "op10_winnowing_decontamination": op10_winnowing_decontamination,
 }
 
