@@ -80,3 +80,22 @@ def fresh(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = f"_{name}"
     return name
+
+
+def ranked(df: DataFrame, keys: list[Column], name: str, key_names: list[str]) -> DataFrame:
+    """``df`` with ``name``, the place of each row from 0 in the order of ``keys``, without a single task seeing all rows.
+
+    Rows are range-partitioned, sorted and written; what is collected is a count for each partition.
+    """
+    spark = df.sparkSession
+    part, offset = f"{name}_part", f"{name}_offset"
+    placed = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn(name, F.monotonically_increasing_id())
+    placed = table(placed, "ranked").withColumn(part, F.shiftright(name, 33))
+    counts = sorted((r[0], r[1]) for r in placed.groupBy(part).count().collect())
+    before, rows = 0, []
+    for number, n in counts:
+        rows.append((number, before))
+        before += n
+    offsets = spark.createDataFrame(rows, f"{part} long, {offset} long")
+    placed = placed.join(F.broadcast(offsets), part)  # a row a partition
+    return placed.withColumn(name, F.col(offset) + F.col(name).bitwiseAND(F.lit((1 << 33) - 1))).drop(part, offset)
