@@ -2,10 +2,11 @@
 
 Sources share the size of the whole corpus by weight, none above ``CAP`` times its own
 size. A document of a source is due target / size copies: the whole part for certain, the
-fraction by pivotal rounding. Of two documents with fractions p and q, mass moves at random
-until one fraction is 0 or 1, without changing their sum or either's expectation; the
-other goes on to the next. Documents meet in descending size, so mass moves between like
-sizes and the words taken stay near the target. Blocks of ``BLOCK`` documents are rounded
+fraction by pivotal rounding. Of two documents with open fractions, words move from one to
+the other, at random which way, until one fraction is 0 or 1; neither the words due to
+both nor the expectation of either changes, and the one still open goes on to the next. So
+a source's words miss its target by less than the one document that is left. Documents
+meet in descending size, so that one is seldom large. Blocks of ``BLOCK`` documents are rounded
 apart and leave one fraction each, and blocks of these again, up a tree, until a source
 has one left. All random numbers are hashes of ids, so a rerun decides alike.
 """
@@ -64,26 +65,26 @@ def _chance(*parts) -> float:
 def _round_block(group: pd.DataFrame) -> pd.DataFrame:
     """Settles all rows of a block but at most one, or all if the block is its source's last."""
     order = group.sort_values(["size", "doc_id"], ascending=[False, True], kind="stable").reset_index(drop=True)
-    share, ids = order["share"].to_numpy(np.float64).copy(), order["doc_id"].tolist()
+    share, size, ids = order["share"].to_numpy(np.float64).copy(), order["size"].to_numpy(np.float64), order["doc_id"].tolist()
     held = -1
     for i in range(len(share)):
         if not 0.0 < share[i] < 1.0:
             continue
+        if not size[i]:  # no words to move
+            share[i] = float(_chance(ids[i], "empty") < share[i])
+            continue
         if held < 0:
             held = i
             continue
-        p, q = share[held], share[i]
-        chance = _chance(ids[held], ids[i], i)
-        if p + q < 1:
-            winner, loser = (held, i) if chance * (p + q) < p else (i, held)
-            share[winner], share[loser], held = p + q, 0.0, winner
-        else:
-            rest = p + q - 1
-            winner, loser = (held, i) if chance * (2 - p - q) < 1 - q else (i, held)
-            share[winner], share[loser], held = 1.0, rest, loser
-        if min(share[held], 1 - share[held]) < 1e-9:
-            share[held] = round(share[held])
-            held = -1
+        give, take = min(share[held] * size[held], (1 - share[i]) * size[i]), min(share[i] * size[i], (1 - share[held]) * size[held])
+        words = -give if _chance(ids[held], ids[i], i) * (give + take) < take else take
+        share[held] += words / size[held]
+        share[i] -= words / size[i]
+        for j in (held, i):
+            if min(abs(share[j]), abs(1 - share[j])) < 1e-9:
+                share[j] = float(round(share[j]))
+        open_ = [j for j in (held, i) if 0.0 < share[j] < 1.0]
+        held = open_[0] if open_ else -1
     if held >= 0 and order["blocks"].iloc[0] <= 1:
         share[held] = float(_chance(ids[held], "last") < share[held])
     order["share"] = share
