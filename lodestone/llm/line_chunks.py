@@ -100,6 +100,7 @@ def removals(docs: DataFrame) -> DataFrame:
     place = F.struct("doc", "th", "no")
     named = table(docs.mapInArrow(_nominate, "doc long, th long, no int, h1 long, h2 long"), "chunks")
     repeated = named.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).where("n > 1")
+    repeated = table(repeated, "digests")  # so that the join has exchanges of its own, which it can split where a digest is hot
     many = table(named.join(repeated, ["h1", "h2"]).select("doc", "th", "no", "h1", "h2", F.col("first").eqNullSafe(place).alias("is_first")), "repeated")
     wanted = many.groupBy("doc", "th").agg(F.collect_set(F.struct("no", "h1", "h2")).alias("wanted"))
     on = docs["doc"].eqNullSafe(wanted["doc"]) & (docs["th"] == wanted["th"])

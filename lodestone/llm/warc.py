@@ -237,6 +237,7 @@ def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
     key = F.sha2(F.col("html").cast("binary"), 256)
     first = rows.where(F.octet_length("html") >= least).groupBy(key.alias("same")).agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("same", "first")
+    first = table(first, "responses")  # so that the join has exchanges of its own, which it can split where a payload is hot
     joined = rows.withColumn("key", key).join(first, F.col("key") == F.col("same"), "left")
     refers = F.when(F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first")), F.col("first"))
     folder = scratch(pages.sparkSession, "warc")
