@@ -35,7 +35,7 @@ class Index:
     @classmethod
     def empty(cls, spark: SparkSession, name: str, spec: Mapping) -> Index:
         schema = Schema.parse(spec)
-        fields = [T.StructField(GUID, T.StringType(), False), *[T.StructField(f.name, f.spark_type) for f in schema.spark_schema()]]
+        fields = [T.StructField(GUID, T.StringType(), False), *[T.StructField(f.name, f.spark_type) for f in schema.fields.values()]]
         return cls(name, schema, spark.createDataFrame([], T.StructType(fields)))
 
     def _load(self, docs: DataFrame) -> None:

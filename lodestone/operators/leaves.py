@@ -11,7 +11,13 @@ from pyspark.sql import functions as F
 from lodestone.functions.coercion import NO_MATCH, NUMERIC, coerce
 from lodestone.plans.schema import FieldSpec
 
-NOTHING, ALL = F.lit(False), F.lit(True)
+
+def nothing() -> Column:
+    return F.lit(False)
+
+
+def everything() -> Column:
+    return F.lit(True)
 
 
 def tokens_column(name: str) -> str:
@@ -37,19 +43,19 @@ def equals(spec: FieldSpec, value: object) -> Column:
     """Whether a field holds a value exactly; a text field, whether it holds the token."""
     found = coerce(spec.kind, value)
     if found is NO_MATCH:
-        return NOTHING
+        return nothing()
     if spec.kind == "text":
         return F.array_contains(tokens_column(spec.name), found)
     column = F.col(f"`{spec.name}`")
     test = F.array_contains(column, literal(spec, found)) if spec.many else column == literal(spec, found)
-    return F.coalesce(test, NOTHING) if spec.many else test
+    return F.coalesce(test, nothing()) if spec.many else test
 
 
 def any_token(spec: FieldSpec, tokens: list[str]) -> Column:
     """Whether a text field holds any of the tokens."""
     distinct = list(dict.fromkeys(tokens))
     if not distinct:
-        return NOTHING
+        return nothing()
     if len(distinct) == 1:
         return F.array_contains(tokens_column(spec.name), distinct[0])
     return F.arrays_overlap(tokens_column(spec.name), F.array(*[F.lit(t) for t in distinct]))
@@ -76,7 +82,7 @@ class Bounds:
 
     def test(self, spec: FieldSpec) -> Column:
         if self.empty:
-            return NOTHING
+            return nothing()
 
         def within(x: Column) -> Column:
             parts = []
@@ -87,4 +93,4 @@ class Bounds:
             return reduce(lambda a, b: a & b, parts)
 
         column = F.col(f"`{spec.name}`")
-        return F.coalesce(F.exists(column, within), NOTHING) if spec.many else within(column)
+        return F.coalesce(F.exists(column, within), nothing()) if spec.many else within(column)

@@ -158,10 +158,10 @@ class Compiler:
         if isinstance(query, Bool):
             return self._bool(query)
         if query.field == ALL_FIELD:
-            return Compiled(leaves.NOTHING, F.lit(0.0)) if isinstance(query, Range) else Compiled(leaves.ALL, F.lit(1.0))
+            return Compiled(leaves.nothing(), F.lit(0.0)) if isinstance(query, Range) else Compiled(leaves.everything(), F.lit(1.0))
         spec = self.schema.fields.get(query.field)
         if spec is None:
-            return Compiled(leaves.NOTHING, F.lit(0.0))
+            return Compiled(leaves.nothing(), F.lit(0.0))
         if isinstance(query, Range):
             return self._flat(leaves.Bounds.of(spec, query.low, query.high, query.with_low, query.with_high).test(spec))
         if isinstance(query, Terms):
@@ -182,7 +182,7 @@ class Compiler:
             return Compiled(leaves.any_token(spec, tokens), self._relevance(spec, tokens))
         found = [v for v in (coerce(spec.kind, v) for v in wanted) if v is not NO_MATCH]
         if not found:
-            return Compiled(leaves.NOTHING, F.lit(0.0))
+            return Compiled(leaves.nothing(), F.lit(0.0))
         tests = [leaves.equals(spec, v) for v in found]
         test = reduce(lambda a, b: a | b, tests) if spec.many else F.col(f"`{spec.name}`").isin([leaves.literal(spec, v) for v in dict.fromkeys(found)])
         return Compiled(test, reduce(lambda a, b: a + b, [F.when(t, 1.0).otherwise(0.0) for t in tests]))
@@ -199,7 +199,7 @@ class Compiler:
     def _bool(self, query: Bool) -> Compiled:
         groups = [[self._visit(c) for c in group] for group in (query.should, query.must, query.filter)]
         if not any(groups):
-            return Compiled(leaves.ALL, F.lit(1.0))
+            return Compiled(leaves.everything(), F.lit(1.0))
         joins = (lambda a, b: a | b, lambda a, b: a & b, lambda a, b: a & b)
         test = reduce(lambda a, b: a & b, [reduce(j, [c.test for c in g]) for j, g in zip(joins, groups) if g])
         scored = [*groups[0], *groups[1], *(groups[2] if self.score_filters else [])]
