@@ -183,6 +183,7 @@ def _split(width: int):
 def _refine(rows: DataFrame, name: str, leaf: bool = False) -> tuple[DataFrame, DataFrame | None, DataFrame]:
     """Settles the rows whose cover is repeated. Returns the runs they cover, what stays open with its witnesses, and the table behind both."""
     cover = rows.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "th", "at")).alias("first")).where("n > 1")
+    cover = table(cover, f"{name}-covers")  # so that the join has exchanges of its own, which it can split where a cover is hot
     marked = rows.join(cover, ["c1", "c2"], "left").select(
         "k1", "k2", "doc", "th", "at", "lo", "hi", "witness", F.col("n").isNotNull().alias("settled"),
         F.coalesce(F.struct("doc", "th", "at").eqNullSafe(F.col("first")), F.lit(False)).alias("is_first"),
