@@ -77,6 +77,11 @@ def _flipper(base: Column):
     return lambda flip: base.bitwiseXOR(flip)
 
 
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of signed 64-bit values; unsigned, as the bits of a signed one are counted on its absolute value."""
+    return np.bitwise_count((a ^ b).view(np.uint64))
+
+
 def spanning_links(values: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
     """Links that connect what is connected among distinct ``values`` at ``radius`` bits, one fewer than members.
 
@@ -88,7 +93,7 @@ def spanning_links(values: np.ndarray, radius: int = RADIUS) -> list[tuple[int,
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             x = queue.pop()
-            near = np.bitwise_count(left ^ x) <= radius
+            near = distances(left, x) <= radius
             if near.any():
                 found = left[near]
                 left = left[~near]
@@ -106,7 +111,7 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = np.diff(np.append(starts, len(keys)))
         pairs = starts[sizes == 2]
         a, b = fps[pairs], fps[pairs + 1]
-        near = (np.bitwise_count(a ^ b) <= RADIUS) & (a != b)
+        near = (distances(a, b) <= RADIUS) & (a != b)
         a, b = [a[near]], [b[near]]
         for start, size in zip(starts[sizes > 2], sizes[sizes > 2]):
             links = spanning_links(np.unique(fps[start : start + size]))
