@@ -73,7 +73,7 @@ def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 6, schema)], schema=schema)
 
 
-def _rewriter(text_at: int, gone_at: int):
+def _rewriter(text_at: int, gone_at: int, stat_names: list[str]):
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, stats = [], []
@@ -86,7 +86,7 @@ def _rewriter(text_at: int, gone_at: int):
             columns = [pa.array(texts, pa.string()) if i == text_at else c for i, c in enumerate(batch.columns) if i != gone_at]
             names = [f.name for i, f in enumerate(batch.schema) if i != gone_at]
             columns += [pa.array(c, pa.int64()) for c in (zip(*stats) if stats else [[]] * 4)]
-            yield pa.RecordBatch.from_arrays(columns, [*names, "s1", "s2", "s3", "s4"])
+            yield pa.RecordBatch.from_arrays(columns, [*names, *stat_names])
 
     return rewrite
 
@@ -104,7 +104,7 @@ def removals(docs: DataFrame) -> DataFrame:
     many = table(named.join(repeated, ["h1", "h2"]).select("doc", "th", "no", "h1", "h2", F.col("first").eqNullSafe(place).alias("is_first")), "repeated")
     wanted = many.groupBy("doc", "th").agg(F.collect_set(F.struct("no", "h1", "h2")).alias("wanted"))
     on = docs["doc"].eqNullSafe(wanted["doc"]) & (docs["th"] == wanted["th"])
-    bodies = docs.join(wanted, on).select(docs["doc"], docs["th"], "text", "wanted")
+    bodies = docs.hint("merge").join(wanted, on).select(docs["doc"], docs["th"], "text", "wanted")
     bodies = bodies.mapInArrow(_bodies, "doc long, th long, no int, h1 long, h2 long, body string")
     compared = bodies.groupBy("h1", "h2").agg((F.min("body") == F.max("body")).alias("equal"))
     differ = table(compared.where("not equal").select("h1", "h2"), "differ")
@@ -133,11 +133,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     release(docs.sparkSession)
     own = docs.withColumn(th, F.xxhash64(text))
     gone = gone.select(F.col("doc").alias("gone_doc"), F.col("th").alias("gone_th"), F.col("gone").alias("gone_list"))
-    found = own.join(gone, own[id_col].cast("long").eqNullSafe(gone["gone_doc"]) & (own[th] == gone["gone_th"]), "left")
+    found = own.hint("merge").join(gone, own[id_col].cast("long").eqNullSafe(gone["gone_doc"]) & (own[th] == gone["gone_th"]), "left")
     found = found.select(*[own[c] for c in docs.columns], gone["gone_list"].alias(gone_col))
     names = [fresh(docs, c) for c in STATS]
     fields = [T.StructField(text_col, T.StringType()) if f.name == text_col else f for f in docs.schema.fields]
     schema = T.StructType([*fields, *[T.StructField(c, T.LongType()) for c in names]])
-    out = found.mapInArrow(_rewriter(docs.columns.index(text_col), len(docs.columns)), schema)
+    out = found.mapInArrow(_rewriter(docs.columns.index(text_col), len(docs.columns), names), schema)
     return out
 
