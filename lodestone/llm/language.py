@@ -131,7 +131,8 @@ def tables(rows: list[dict]) -> Tables:
         place: dict[str, int] = {}
         for r in mine:
             place.setdefault(r["term"], len(place))
-        times, total = np.zeros((len(place), len(languages))), np.ones(len(languages))
+        times = np.zeros((len(place), len(languages)))
+        total = np.full(len(languages), float(max((r["total"] for r in mine), default=1)))
         for r in mine:
             times[place[r["term"]], at[r["lang"]]] = r["times"]
             total[at[r["lang"]]] = r["total"]

@@ -27,6 +27,8 @@ MAX_POSITIVE, MAX_NEGATIVE = 3000, 12000
 #: Documents of the sample that a bucket must occur in.
 MIN_DOCS = 8
 EPOCHS, BATCH, RATE, L1, L2 = 30, 256, 0.5, 5e-4, 1e-4
+#: Steps at least, for small samples.
+LEAST_STEPS = 300
 THRESHOLD = 0.7
 TERM = re.compile(r"\w+")
 _CACHE_TERMS = 1 << 19
@@ -93,9 +95,9 @@ def fit(labels: np.ndarray, features: list[np.ndarray], seed: int = 7) -> Machin
     y = labels[used].astype(np.float64)
     rng = np.random.default_rng(seed)
     n = len(kept)
-    b, w, v = empty.bias, np.zeros(n), rng.normal(0, 0.01, (n, FACTORS))
+    b, w, v = empty.bias, np.zeros(n), rng.normal(0, 0.05, (n, FACTORS))
     gw, gv = np.full(n, 1e-3), np.full((n, FACTORS), 1e-3)
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, LEAST_STEPS * BATCH // len(rows))):
         order = rng.permutation(len(rows))
         for at in range(0, len(order), BATCH):
             part = order[at : at + BATCH]
@@ -120,11 +122,11 @@ def fit(labels: np.ndarray, features: list[np.ndarray], seed: int = 7) -> Machin
             b -= 0.5 * error.sum()
         idle = w == 0
         v[idle] *= 0.5  # a term that tells nothing alone needs strong pairs to stay
-    live = (w != 0) | (np.abs(v).max(axis=1) > 0.05)
+    live = (w != 0) | (np.abs(v).max(axis=1) > 0.1)
     return Machine(float(b), w[live], v[live], {int(k): i for i, k in enumerate(kept[live])})
 
 
-def _scorer(machine, at: int, keep_text: bool):
+def _scorer(machine, at: int, keep_text: bool, name: str):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = machine.value
         place, cache = model.place, {}
@@ -140,7 +142,7 @@ def _scorer(machine, at: int, keep_text: bool):
                 if len(cache) > _CACHE_TERMS:
                     cache.clear()
             kept = [i for i in range(batch.num_columns) if keep_text or i != at]
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in kept], pa.array(scores, pa.float64())], [*[batch.schema.names[i] for i in kept], "score"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in kept], pa.array(scores, pa.float64())], [*[batch.schema.names[i] for i in kept], name])
 
     return score
 
@@ -170,7 +172,7 @@ def score(docs: DataFrame, machine: Machine, text_col: str = "text", keep_text:
     shared = docs.sparkSession.sparkContext.broadcast(machine)
     at = docs.columns.index(text_col)
     fields = [f for i, f in enumerate(docs.schema.fields) if keep_text or i != at]
-    return docs.mapInArrow(_scorer(shared, at, keep_text), T.StructType([*fields, T.StructField(name, T.DoubleType())]))
+    return docs.mapInArrow(_scorer(shared, at, keep_text, name), T.StructType([*fields, T.StructField(name, T.DoubleType())]))
 
 
 def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
