@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm._shared import cut
+from lodestone.llm._shared import cut, drop_table, table
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -19,7 +19,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Returns ``node, component`` for every node that has a link to another, where
     ``component`` is the smallest node reachable. Loops, repeated and null ends are
     ignored. Each round is aggregations and equi-joins only: a hub with many
-    neighbours is pre-aggregated to its minimum, and its join partition can be split.
+    neighbours is pre-aggregated to its minimum, and the minima are written as a table, so
+    that Spark broadcasts them if they are small and else can split the hub's join partition.
     The number of rounds grows with the logarithm of the longest chain.
     """
     a, b = edges.columns
@@ -30,11 +31,13 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if not before[0]:
             break
         both = stars.union(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        stars = cut(small.union(least.select("u", F.col("m").alias("v"))).distinct())
+        first = table(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
+        large = cut(both.where("v > u").join(first, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        second = table(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        small = large.join(second, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        stars = cut(small.union(second.select("u", F.col("m").alias("v"))).distinct())
+        drop_table(first)
+        drop_table(second)
         now = _state(stars)
         if now == before:
             break

@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from lodestone.llm._shared import table
+
 PER_LANGUAGE = 2500
 TOP_WORDS, TOP_GRAMS = 12000, 4000
 LENGTHS = (4, 3, 2, 1)
@@ -112,6 +114,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     usable = docs.where(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & ~held_out(F.col(id_col)))
     usable = usable.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     share = usable.groupBy("lang").agg((F.lit(float(PER_LANGUAGE)) / F.count(F.lit(1))).alias("share"))
+    share = table(share, "shares")  # a row a language: known to be small, so that no text is shuffled to meet it
     drawn = (F.shiftrightunsigned(F.xxhash64("id"), 11) / F.lit(float(1 << 53))) < F.col("share")
     sample = usable.join(share, "lang").where(drawn & F.col("text").isNotNull()).select("lang", "text")
     counts = sample.mapInArrow(_count, "lang string, n int, term string, times long").groupBy("lang", "n", "term").agg(F.sum("times").alias("times"))

@@ -70,4 +70,5 @@ SQL: dict[str, str] = {
     "op3_warc_chunks": warc.SQL,
     "op4_url_link_graph": linkgraph.sql(),
     "op6_embedding_near_dedup": vectors.SQL,
+    "op10_winnowing_decontamination": winnowing.SQL,
 }

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm._shared import cut, fresh
+from lodestone.llm._shared import cut, fresh, table
 from lodestone.llm.components import connected_components
 
 RADIUS = 3
@@ -155,7 +155,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = cut(rows.groupBy("fp").agg(F.min("id").alias("least")))
     linked = connected_components(links(classes.select("fp")))
     roots = classes.join(linked, classes.fp == linked.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
-    least = roots.groupBy("root").agg(F.min("least").alias("component_id"))
+    least = table(roots.groupBy("root").agg(F.min("least").alias("component_id")), "roots")  # so that the join has exchanges of its own
     labels = roots.join(least, "root").select("fp", "component_id")
     return rows.join(labels, "fp").select(
         F.col("id").alias(id_col),

@@ -170,3 +170,23 @@ def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     key = fresh(docs, "hit_id")
     bad = contamination(docs, benchmark, id_col, text_col, item_col, item_text).where("contaminated")
     return docs.join(bad.select(F.col(id_col).alias(key)).distinct(), docs[id_col].eqNullSafe(F.col(key)), "left_anti")
+
+
+def _sql_words(column: str) -> str:
+    lowered = f"translate(coalesce({column}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"regexp_extract_all({lowered}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+
+SQL = f"""
+WITH i AS (SELECT item_id, {_sql_words("text")} AS w FROM benchmark),
+win AS MATERIALIZED (SELECT DISTINCT item_id, least(len(w), {N}) AS n, array_to_string(w[k:k + least(len(w), {N}) - 1], ' ') AS g FROM i, unnest(range(1, len(w) - least(len(w), {N}) + 2)) AS t(k) WHERE len(w) > 0),
+lens AS (SELECT DISTINCT n FROM win),
+d AS MATERIALIZED (SELECT doc_id, {_sql_words("text")} AS w FROM documents),
+g AS (SELECT doc_id, k, n, array_to_string(w[k:k + n - 1], ' ') AS g FROM d, lens, unnest(range(1, len(w) - n + 2)) AS t(k)),
+hit AS MATERIALIZED (SELECT g.doc_id, g.k, g.n, win.item_id FROM g JOIN win ON g.g = win.g AND g.n = win.n),
+cov AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM hit) GROUP BY doc_id),
+its AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(s, ',' ORDER BY s)) AS items_sha256 FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS s FROM hit WHERE item_id IS NOT NULL) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN cov ON d.doc_id = cov.doc_id LEFT JOIN its ON d.doc_id = its.doc_id
+"""
