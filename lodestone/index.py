@@ -40,8 +40,11 @@ class Index:
 
     def _load(self, docs: DataFrame) -> None:
         self.stored = docs.select(self.key, *[f"`{f}`" for f in self.schema.fields])
-        derived = {leaves.tokens_column(f.name): self._tokens(f.name) for f in self.schema.fields.values() if f.kind == "text"}
-        self.docs = self.stored.withColumns(derived) if derived else self.stored
+        text = {leaves.tokens_column(f.name): f.name for f in self.schema.fields.values() if f.kind == "text"}
+        if text and set(text) <= set(docs.columns):  # a saved index brings its tokens
+            self.docs = docs.select(*self.stored.columns, *text)
+        else:
+            self.docs = self.stored.withColumns({column: self._tokens(name) for column, name in text.items()}) if text else self.stored
 
     def _tokens(self, name: str) -> Column:
         analyzer, column = self.schema.analyzer_of(name), F.col(f"`{name}`")
@@ -91,6 +94,7 @@ class Index:
         found = compiler.compile(queries.parse(query or queries.MATCH_ALL))
         docs = self.docs.where(found.test)
         if compiler.statistics.wanted:
+            docs = docs.withColumns(compiler.statistics.per_document)
             docs = docs.crossJoin(F.broadcast(self.statistics(compiler.statistics.wanted)))  # one row
         hits = docs.select(self.key, found.score.cast("double").alias("score"))
         if order == "score":

@@ -117,20 +117,25 @@ def parse(body: object) -> Query:
 
 @dataclass
 class Statistics:
-    """Corpus statistics that scores refer to, as names of columns of a one-row frame."""
+    """What scores refer to: figures of the corpus (columns of a one-row frame) and, for each document, counts that are taken once."""
 
     wanted: dict[str, Column] = field(default_factory=dict)
-    _tokens: dict[tuple[str, str], str] = field(default_factory=dict)
+    per_document: dict[str, Column] = field(default_factory=dict)
+    _tokens: dict[tuple[str, str], int] = field(default_factory=dict)
 
-    def of(self, name: str, token: str) -> tuple[Column, Column, Column]:
-        """Documents with tokens, mean token count of these, documents with ``token``."""
+    def of(self, name: str, token: str) -> dict[str, Column]:
+        """The arguments of ``scoring.bm25`` for a token of a field, as references."""
         tokens = F.col(leaves.tokens_column(name))
-        self.wanted.setdefault(f"__n_{name}", F.count_if(F.size(tokens) > 0))
-        self.wanted.setdefault(f"__len_{name}", F.avg(F.when(F.size(tokens) > 0, F.size(tokens))))
+        n_docs, average, length = f"__n_{name}", f"__len_{name}", f"__dl_{name}"
+        self.wanted.setdefault(n_docs, F.count_if(F.size(tokens) > 0))
+        self.wanted.setdefault(average, F.avg(F.when(F.size(tokens) > 0, F.size(tokens))))
+        self.per_document.setdefault(length, F.size(tokens))
         if (name, token) not in self._tokens:
-            key = self._tokens[name, token] = f"__df_{name}_{len(self._tokens)}"
-            self.wanted[key] = F.count_if(F.array_contains(tokens, token))
-        return F.col(f"__n_{name}"), F.col(f"__len_{name}"), F.col(self._tokens[name, token])
+            at = self._tokens[name, token] = len(self._tokens)
+            self.wanted[f"__df_{at}"] = F.count_if(F.array_contains(tokens, token))
+            self.per_document[f"__tf_{at}"] = scoring.term_count(tokens, token)
+        at = self._tokens[name, token]
+        return {"count": F.col(f"__tf_{at}"), "length": F.col(length), "n_docs": F.col(n_docs), "n_with": F.col(f"__df_{at}"), "average": F.col(average)}
 
 
 @dataclass(frozen=True)
@@ -189,11 +194,7 @@ class Compiler:
 
     def _relevance(self, spec: FieldSpec, tokens: list[str]) -> Column:
         """The sum of BM25 over the tokens, repeats counted."""
-        held = F.col(leaves.tokens_column(spec.name))
-        parts = []
-        for token in tokens:
-            n_docs, average, n_with = self.statistics.of(spec.name, token)
-            parts.append(scoring.bm25(scoring.term_count(held, token), F.size(held), n_docs, n_with, average, self.k1, self.b))
+        parts = [scoring.bm25(**self.statistics.of(spec.name, token), k1=self.k1, b=self.b) for token in tokens]
         return reduce(lambda a, b: a + b, parts) if parts else F.lit(0.0)
 
     def _bool(self, query: Bool) -> Compiled:

@@ -59,11 +59,11 @@ class Engine:
             target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
     def save(self, name: str) -> str:
-        """Writes the documents as a new version, then points the catalog at it: readers of the old one are never cut off."""
+        """Writes the documents and their tokens as a new version, then points the catalog at it: readers of the old one are never cut off."""
         index, record = self.get_index(name), self._catalog.one(name)
         version = record.get("version", 0) + 1
         path = self._path(name, version)
-        index.stored.write.mode("overwrite").parquet(path)
+        index.docs.write.mode("overwrite").parquet(path)
         self._catalog.update(name, {**record, "version": version})
         self._indexes[name] = Index(name, index.schema, self.spark.read.parquet(path), index.key, index.created_at)
         return path
