@@ -56,9 +56,12 @@ def any_token(spec: FieldSpec, tokens: list[str]) -> Column:
     distinct = list(dict.fromkeys(tokens))
     if not distinct:
         return nothing()
-    if len(distinct) == 1:
-        return F.array_contains(tokens_column(spec.name), distinct[0])
-    return F.arrays_overlap(tokens_column(spec.name), F.array(*[F.lit(t) for t in distinct]))
+    held = tokens_column(spec.name)
+    test = F.array_contains(held, distinct[0]) if len(distinct) == 1 else F.arrays_overlap(held, F.array(*[F.lit(t) for t in distinct]))
+    if spec.many:
+        return test
+    # Analyzers only split, so a token lies in its text: the scan drops texts without any before they are tokenized.
+    return reduce(lambda a, b: a | b, [F.contains(F.col(f"`{spec.name}`"), F.lit(t)) for t in distinct]) & test
 
 
 @dataclass(frozen=True)

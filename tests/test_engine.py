@@ -250,3 +250,17 @@ def test_streaming_ingest(spark, tmp_path):
     ingest(stream, engine, "s", f"{tmp_path}/check", "seq").awaitTermination()
     index = Engine(spark, f"{tmp_path}/engine").get_index("s")
     assert {r.guid: r.n for r in index.stored.collect()} == {"a": 3, "b": 2}
+
+
+def test_json_documents(spark, tmp_path):
+    from lodestone.sources.documents import read_json, write_json
+
+    schema = Schema.parse({"fields": {"n": {"type": "byte"}, "k": {"type": "keyword"}}})
+    (tmp_path / "in.json").write_text('{"guid": "a", "source": {"n": 1, "k": "x"}}\n{"source": {"k": "y"}}\nnot json\n{"guid": " ", "source": {}}\n')
+    found = read_json(spark, f"{tmp_path}/in.json", schema)
+    rows = found.collect()
+    assert [r.guid for r in rows if r.k == "x"] == ["a"] and len({r.guid for r in rows}) == 4 and all(r.guid.strip() for r in rows)
+    assert [r._corrupt for r in rows if r._corrupt] == ["not json"]
+    write_json(found.where("_corrupt is null"), f"{tmp_path}/out", schema)
+    again = read_json(spark, f"{tmp_path}/out", schema)
+    assert sorted((r.guid, r.n, r.k) for r in again.collect()) == sorted((r.guid, r.n, r.k) for r in rows if not r._corrupt)
