@@ -132,12 +132,17 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 def repeat(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """``docs`` as mixed: each row as often as the mix takes it, with ``copy`` numbering its copies from 1."""
-    nth, size, copies = fresh(docs, "nth"), fresh(docs, "size"), fresh(docs, "copies")
-    taken = mix(docs, id_col, text_col, source_col).select(F.col(id_col).alias("taken_id"), F.col("size").alias("taken_size"), F.col("copies").alias("taken_copies"))
-    taken = taken.withColumn("taken_nth", F.row_number().over(Window.partitionBy("taken_id", "taken_size").orderBy(F.desc("taken_copies"))))
-    own = docs.withColumn(size, size_of(F.col(text_col).cast("string")))
-    own = own.withColumn(nth, F.row_number().over(Window.partitionBy(id_col, size).orderBy(id_col)))
-    on = own[id_col].cast("long").eqNullSafe(taken["taken_id"]) & (own[size] == taken["taken_size"]) & (own[nth] == taken["taken_nth"])
-    found = own.join(taken, on).withColumn(copies, F.col("taken_copies")).where(F.col(copies) > 0)
+    nth, size, key, none, copies = (fresh(docs, c) for c in ("nth", "size", "id_or_zero", "id_is_null", "copies"))
+    at = [key, none, size]
+    taken = mix(docs, id_col, text_col, source_col).select(*_known(F.col(id_col), F.col("size"), at), F.col("copies").alias("taken_copies"))
+    taken = taken.groupBy(*at).agg(F.sort_array(F.collect_list("taken_copies"), False).alias(copies))
+    own = docs.select("*", *_known(F.col(id_col).cast("long"), size_of(F.col(text_col).cast("string")), at))
+    found = own.hint("merge").join(taken, at).withColumn(nth, F.row_number().over(Window.partitionBy(*at).orderBy(key)))
+    found = found.withColumn(copies, F.element_at(F.col(copies), F.col(nth)).cast("int")).where(F.col(copies) > 0)
     number = fresh(docs, "copy")
-    return found.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int"))).alias(number))
+    return found.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(copies))).alias(number))
+
+
+def _known(ident: Column, size: Column, names: list[str]) -> list[Column]:
+    """A document's id without nulls and its size: texts are shuffled by these once, for the join and to number equal rows."""
+    return [c.alias(n) for c, n in zip((F.coalesce(ident, F.lit(0)), ident.isNull(), size), names)]
