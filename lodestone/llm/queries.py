@@ -16,7 +16,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = line_chunks.dedup_lines(read(spark, sf_dir, "documents"))
+    kept = line_chunks.dedup_passages(read(spark, sf_dir, "documents"))
     return kept.select("doc_id", *line_chunks.STATS, F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 

@@ -215,6 +215,50 @@ def test_shared_lines_are_found_after_insertions(spark):
     assert line_chunks.dedup_lines(docs.limit(0)).count() == 0
 
 
+def plain_passages(docs):
+    """The same for passages, line by line."""
+    first, out = {}, {}
+    blank = lambda x: not x.strip()
+    for doc, text in sorted(set(docs), key=lambda d: (d[0] is not None, d[0] or 0, xxhash_of(d[1]))):
+        lines, gone = [] if text is None else text.split("\n"), set()
+        for start in range(len(lines)):
+            for end in range(start + 1, len(lines) + 1):
+                part = lines[start:end]
+                full = sum(not blank(x) for x in part)
+                if full > 2 or blank(part[0]):
+                    break
+                single = end == start + 1 and (len(part[0].split()) >= 50 or len(part[0]) >= 250)
+                if single or (full == 2 and not blank(part[-1])):
+                    body = tuple(part)
+                    if first.setdefault(body, (doc, text, start)) != (doc, text, start):
+                        gone |= set(range(start, end))
+        kept = [x for i, x in enumerate(lines) if i not in gone]
+        out[doc, text] = None if text is None else "" if gone and all(map(blank, kept)) else "\n".join(kept)
+    return out
+
+
+def test_passages_on_a_whole_table(spark, sf):
+    before = {r.doc_id: r.text for r in read(spark, sf, "documents").collect()}
+    got = line_chunks.dedup_passages(read(spark, sf, "documents")).collect()
+    assert {(r.doc_id, before[r.doc_id]): r.text for r in got} == plain_passages(list(before.items()))
+    lines = lambda texts: {x for t in texts for x in (t or "").split("\n") if x.strip()}
+    assert lines(r.text for r in got) == lines(before.values())
+
+
+def test_shared_passages_go_whole_inside_foreign_lines(spark):
+    pick = random.Random(5)
+    line = lambda n=5: " ".join(str(pick.randrange(10**6)) for _ in range(n))
+    shared = [[line() for _ in range(n)] for n in range(2, 9)] + [[line(60)], ["字" * 300], [line(), "", line()]]
+    texts = ["\n".join(x for s in shared for x in [line(), *s]), *["\n".join([line(), *s, line()]) for s in shared]]
+    texts += ["\n\n" + "\n".join(shared[0]) + "\n", "lone\n" + line(), "lone\n" + line(), "x\nx\nx", None, ""]
+    docs = spark.createDataFrame(rows(*texts), DOCS)
+    found = {r.doc_id: r for r in line_chunks.dedup_passages(docs).collect()}
+    assert all(found[i + 1].n_removed_lines == len(s) for i, s in enumerate(shared))
+    assert {i: r.text for i, r in found.items()} == {d: t for (d, _), t in plain_passages([r[:2] for r in rows(*texts)]).items()}
+    n = len(shared)
+    assert found[0].text == texts[0] and found[n + 1].text == "" and found[n + 2].n_removed_lines == found[n + 3].n_removed_lines == 0
+
+
 # WARC
 
 
