@@ -58,9 +58,8 @@ def _short_lengths(items: DataFrame) -> list[int]:
     return sorted(r[0] for r in items.where((n > 0) & (n < N)).select(n).distinct().collect())
 
 
-def _positions(df: DataFrame, n: int, keep: Column | None, carry: list[str]) -> DataFrame:
-    """A row for each n-gram (of those in the array ``keep``, if given): hash, position, its words, and N - n words to either side, nearest first."""
-    reach = N - n if n == K else 0
+def _positions(df: DataFrame, n: int, reach: int, keep: Column | None, carry: list[str]) -> DataFrame:
+    """A row for each n-gram (of those in the array ``keep``, if given): hash, position, its words, and ``reach`` words to either side, nearest first."""
     df = df.where(F.size("words") >= n).withColumn("__wh", _word_hashes(F.col("words"))).withColumn("__g", _grams(F.col("__wh"), n))
     at = F.sequence(F.lit(1), F.size("__g"))
     if keep is not None:
@@ -92,16 +91,17 @@ def hits(docs: DataFrame, items: DataFrame) -> DataFrame:
     """
     short = _short_lengths(items)
     found = None
-    for n in [K, *short]:
-        left = _positions(docs, n, F.col("wanted"), ["doc_id"])
-        if n == K:
-            right = _positions(_kept_hashes(items.where(F.size("words") >= N), []), n, F.col("fps"), ["item_id"])
+    for n, whole in [(K, False), *((n, True) for n in short)]:  # an item may have K words as well
+        reach = 0 if whole else N - K
+        left = _positions(docs, n, reach, F.col("wanted"), ["doc_id"])
+        if whole:
+            right = _positions(items.where(F.size("words") == n), n, reach, None, ["item_id"])
         else:
-            right = _positions(items.where(F.size("words") == n), n, None, ["item_id"])
+            right = _positions(_kept_hashes(items.where(F.size("words") >= N), []), n, reach, F.col("fps"), ["item_id"])
         right = right.select("item_id", "fp", *[F.col(c).alias(f"i_{c}") for c in ("gram", "before", "after")])
         met = left.join(right, "fp").where("gram = i_gram")
         run = met.select("doc_id", "item_id", "at", "n", _common("before", "i_before").alias("b"), _common("after", "i_after").alias("a"))
-        if n == K:
+        if not whole:
             run = run.where(F.col("b") + K + F.col("a") >= N)
         run = run.select("doc_id", "item_id", (F.col("at") - F.col("b")).alias("first"), (F.col("at") + F.col("n") + F.col("a") - 1).alias("last"))
         found = run if found is None else found.union(run)

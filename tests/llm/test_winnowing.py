@@ -82,6 +82,17 @@ def test_edges(spark):
     assert {r.doc_id for r in kept.collect()} == {d for d, r in brute(DOCS, ITEMS).items() if not r[-1]}
 
 
+def test_items_of_every_length(spark):
+    made = {n: " ".join(f"t{n}x{i}" for i in range(n)) for n in range(1, 12)}
+    docs = [(n, f"some words {text} and more") for n, text in made.items()]
+    docs += [(100 + n, f"some words {text.rsplit(' ', 1)[0]} and more") for n, text in made.items() if n > 1]  # a word short
+    docs.append((200, "t10x0 t10x1 t10x2 t10x3 t10x4 " + made[5]))  # 5 words of a long item don't count
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = result(winnowing.contamination(frame, spark.createDataFrame(list(made.items()), "item_id long, text string")))
+    assert got == brute(docs, made.items())
+    assert all(got[n][1:3] == (n, 1) for n in made) and got[200][1:3] == (5, 1)
+
+
 @pytest.mark.parametrize("empty", ["docs", "items"])
 def test_empty_tables(spark, empty):
     docs = spark.createDataFrame([] if empty == "docs" else DOCS, "doc_id long, text string")
