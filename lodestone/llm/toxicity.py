@@ -3,12 +3,15 @@
 A text is the set of its lower-cased terms, hashed to ``BUCKETS``. Besides a weight each
 bucket has ``FACTORS`` factors, whose products weigh pairs of terms. The machine is fitted
 on the driver over a sample bounded by ``MAX_POSITIVE`` and ``MAX_NEGATIVE`` labelled
-documents, drawn by the hash of their ids; all documents are scored where they lie.
+documents, drawn by the hash of their ids. Every document of the sample counts; near
+copies of one label share the weight of one. All documents are scored where they lie.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,6 +29,10 @@ FACTORS = 4
 MAX_POSITIVE, MAX_NEGATIVE = 3000, 12000
 #: Documents of the sample that a bucket must occur in.
 MIN_DOCS = 8
+#: Slack of sums of weights against rounding.
+SLACK = 1e-6
+#: Jaccard similarity of the bucket sets of near copies.
+COPY = 0.8
 EPOCHS, BATCH, RATE, L1, L2 = 30, 256, 0.5, 5e-4, 1e-4
 #: Steps at least, for small samples.
 LEAST_STEPS = 300
@@ -66,6 +73,38 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], ["label", "buckets"])
 
 
+def _alike(sets: list[frozenset], counts: list[int]) -> list[int]:
+    """For each of the distinct ``sets``, the sum of the ``counts`` of those at ``COPY`` or more, itself included.
+
+    Exact: of two such sets each holds one of the other's ``size - ceil(COPY * size) + 1`` rarest members.
+    """
+    often = Counter(b for x in sets for b in x)
+    total, index = list(counts), defaultdict(list)
+    for i in sorted(range(len(sets)), key=lambda i: len(sets[i])):
+        x = sets[i]
+        rarest = sorted(x, key=lambda b: (often[b], b))[: len(x) - math.ceil(COPY * len(x) - 1e-9) + 1]
+        for j in {j for b in rarest for j in index[b]}:
+            y = sets[j]
+            if len(y) >= COPY * len(x) and len(x & y) >= COPY * len(x | y):
+                total[i] += counts[j]
+                total[j] += counts[i]
+        for b in rarest:
+            index[b].append(i)
+    return total
+
+
+def witness_weights(labels: np.ndarray, features: list[np.ndarray]) -> np.ndarray:
+    """1 / (rows of the same label that are near copies of the row, itself included)."""
+    weights = np.ones(len(features))
+    for label in np.unique(labels):
+        groups: dict[frozenset, list[int]] = {}
+        for i in np.flatnonzero(labels == label).tolist():
+            groups.setdefault(frozenset(features[i].tolist()), []).append(i)
+        for rows, n in zip(groups.values(), _alike(list(groups), [len(r) for r in groups.values()])):
+            weights[rows] = 1 / n
+    return weights
+
+
 def fit(labels: np.ndarray, features: list[np.ndarray], seed: int = 7) -> Machine:
     """Adaptive-gradient descent on the log loss; weights and factors shrink to zero unless the labels bear them out."""
     prior = float(np.clip(labels.mean() if len(labels) else 0.5, 1e-3, 1 - 1e-3))
@@ -73,26 +112,18 @@ def fit(labels: np.ndarray, features: list[np.ndarray], seed: int = 7) -> Machin
     if not len(labels) or labels.min() == labels.max():
         return empty
     flat, sizes = np.concatenate(features) if features else np.zeros(0, np.int64), np.array([len(x) for x in features])
-    found, counts = np.unique(flat, return_counts=True)
-    rare = set(found[counts < max(MIN_DOCS, len(labels) // 50)].tolist())
-    mixed = lambda x: (x * 2654435761) & 0xFFFFFFFF
-    first: dict[int, int] = {}
-    for i, x in enumerate(features):  # near copies are one witness, known by their least rare term
-        mine = [mixed(b) for b in x.tolist() if b in rare]
-        first.setdefault(min(mine) if mine else -1 - i, i)
-    used = np.array(sorted(first.values()))
-    member = np.zeros(len(features), bool)
-    member[used] = True
-    found, counts = np.unique(flat[np.repeat(member, sizes)], return_counts=True)
+    weight = witness_weights(labels, features)
+    found, at = np.unique(flat, return_inverse=True)
+    counts = np.bincount(at, np.repeat(weight, sizes), len(found)) + SLACK
     kept = found[counts >= MIN_DOCS]
     if not len(kept):
         return empty
     rows = []
-    for i in used:
-        at = np.searchsorted(kept, features[i])
+    for x in features:
+        at = np.searchsorted(kept, x)
         at[at == len(kept)] = 0
-        rows.append(at[kept[at] == features[i]])
-    y = labels[used].astype(np.float64)
+        rows.append(at[kept[at] == x])
+    y = labels.astype(np.float64)
     rng = np.random.default_rng(seed)
     n = len(kept)
     b, w, v = empty.bias, np.zeros(n), rng.normal(0, 0.05, (n, FACTORS))
@@ -108,7 +139,7 @@ def fit(labels: np.ndarray, features: list[np.ndarray], seed: int = 7) -> Machin
             total = np.stack([np.bincount(owner, own[:, f], len(part)) for f in range(FACTORS)], axis=1)
             square = np.bincount(owner, (own * own).sum(axis=1), len(part))
             raw = b + np.bincount(owner, w[index], len(part)) + 0.5 * ((total * total).sum(axis=1) - square)
-            error = (1 / (1 + np.exp(-np.clip(raw, -30, 30))) - y[part]) / len(part)
+            error = (1 / (1 + np.exp(-np.clip(raw, -30, 30))) - y[part]) * weight[part] / weight[part].sum()
             grad_w = np.bincount(index, error[owner], n)
             pull = error[owner][:, None] * (total[owner] - own)
             grad_v = np.stack([np.bincount(index, pull[:, f], n) for f in range(FACTORS)], axis=1) + L2 * v

@@ -160,6 +160,28 @@ def test_pairs_of_terms_are_learned():
     assert score(1, 2) > 0.9 and max(score(1), score(2), score()) < toxicity.THRESHOLD
 
 
+def test_rows_that_share_one_rare_term_all_count():
+    pick = np.random.default_rng(2)
+    labels = np.array([0] * 540 + [1] * 60)
+    common = lambda: pick.integers(100, 160, 8).tolist()
+    made = [np.unique([*common(), 1000 + i % 60, *([1] if y else [])]) for i, y in enumerate(labels)]
+    assert toxicity.fit(labels, made).score([]) < 0.5
+    machine = toxicity.fit(labels, made)
+    score = machine.score([machine.place[1]]) if 1 in machine.place else 0
+    assert score > 0.9 and (toxicity.witness_weights(labels, made) == 1).sum() > 500
+
+
+def test_near_copies_of_one_label_share_one_weight():
+    pick = random.Random(6)
+    sets = [frozenset(pick.sample(range(300), pick.randint(1, 30))) for _ in range(60)] + [frozenset()] * 2
+    sets += [x ^ frozenset(pick.sample(range(300), pick.randint(0, 4))) for x in sets for _ in range(3)]
+    labels = np.array([pick.randint(0, 1) for _ in sets])
+    like = lambda a, b: a == b or len(a & b) >= 0.8 * len(a | b)
+    expected = [1 / sum(like(x, y) and k == m for y, m in zip(sets, labels)) for x, k in zip(sets, labels)]
+    assert toxicity.witness_weights(labels, [np.array(sorted(x), np.int64) for x in sets]).tolist() == pytest.approx(expected)
+    assert min(expected) < 0.5
+
+
 # Lines
 
 
