@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lodestone.llm import language, line_chunks, linkgraph, mixing, simhash, toxicity, vectors, warc
+from lodestone.llm import language, line_chunks, linkgraph, mixing, simhash, similar, toxicity, vectors, warc
 from lodestone.llm._shared import ranked, read
 from lodestone.llm.components import connected_components
 from lodestone.llm.queries import QUERIES
@@ -118,6 +118,37 @@ def test_simhash_edges(spark):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+# Shingle sets
+
+
+def plain_similar(docs):
+    """The ids that stay of (id, text)."""
+    words = {d: (t or "").encode().lower().split() for d, t in docs}
+    sets = {d: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for d, w in words.items()}
+    links = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    return {d for d, root in classes(sets, links).items() if d == root}
+
+
+def test_one_of_each_similar_group_stays(spark, sf):
+    import corpus_pipeline
+
+    pick = random.Random(9)
+    made = []
+    for _ in range(12):
+        base = [str(pick.randrange(10**6)) for _ in range(400)]
+        made.append(base)
+        for n in range(2, 16):  # up to about 14 words changed: similarities from 0.95 down to below 0.8
+            other = list(base)
+            for i in pick.sample(range(400), n):
+                other[i] = "changed" + str(pick.randrange(10**6))
+            made.append(other)
+    texts = {i: " ".join(w) for i, w in enumerate(made)} | {9000: None, 9001: " ", 9002: "", 9003: "a B", 9004: "A b", 9005: "c"}
+    kept = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(list(texts.items()), "doc_id long, text string"), sf)
+    assert {r.doc_id for r in kept.collect()} == plain_similar(texts.items())
+    docs = read(spark, sf, "documents")
+    assert {r.doc_id for r in similar.keep_one(docs).collect()} == plain_similar([(r.doc_id, r.text) for r in docs.collect()])
+
+
 # Toxicity
 
 
