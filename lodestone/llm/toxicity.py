@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -73,21 +73,25 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], ["label", "buckets"])
 
 
-def _alike(sets: list[frozenset], counts: list[int]) -> list[int]:
+def _alike(sets: list[np.ndarray], counts: list[int]) -> list[int]:
     """For each of the distinct ``sets``, the sum of the ``counts`` of those at ``COPY`` or more, itself included.
 
     Exact: of two such sets each holds one of the other's ``size - ceil(COPY * size) + 1`` rarest members.
     """
-    often = Counter(b for x in sets for b in x)
-    total, index = list(counts), defaultdict(list)
+    often = np.bincount(np.concatenate(sets).astype(np.int64), minlength=1)
+    mark, total, index = np.zeros(len(often), bool), list(counts), defaultdict(list)
     for i in sorted(range(len(sets)), key=lambda i: len(sets[i])):
         x = sets[i]
-        rarest = sorted(x, key=lambda b: (often[b], b))[: len(x) - math.ceil(COPY * len(x) - 1e-9) + 1]
+        rarest = x[np.lexsort((x, often[x]))][: len(x) - math.ceil(COPY * len(x) - 1e-9) + 1].tolist()
+        mark[x] = True
         for j in {j for b in rarest for j in index[b]}:
             y = sets[j]
-            if len(y) >= COPY * len(x) and len(x & y) >= COPY * len(x | y):
-                total[i] += counts[j]
-                total[j] += counts[i]
+            if len(y) >= COPY * len(x):
+                both = np.count_nonzero(mark[y])
+                if both >= COPY * (len(x) + len(y) - both):
+                    total[i] += counts[j]
+                    total[j] += counts[i]
+        mark[x] = False
         for b in rarest:
             index[b].append(i)
     return total
@@ -97,10 +101,11 @@ def witness_weights(labels: np.ndarray, features: list[np.ndarray]) -> np.ndarra
     """1 / (rows of the same label that are near copies of the row, itself included)."""
     weights = np.ones(len(features))
     for label in np.unique(labels):
-        groups: dict[frozenset, list[int]] = {}
+        groups: dict[bytes, list[int]] = {}
         for i in np.flatnonzero(labels == label).tolist():
-            groups.setdefault(frozenset(features[i].tolist()), []).append(i)
-        for rows, n in zip(groups.values(), _alike(list(groups), [len(r) for r in groups.values()])):
+            groups.setdefault(features[i].tobytes(), []).append(i)
+        same = list(groups.values())
+        for rows, n in zip(same, _alike([features[r[0]] for r in same], [len(r) for r in same])):
             weights[rows] = 1 / n
     return weights
 
@@ -194,8 +199,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text"))
     sample = texts.join(F.broadcast(drawn), F.col("doc") == F.col("id")).select("label", "text")  # MAX_POSITIVE + MAX_NEGATIVE rows of two numbers
     got = sample.mapInArrow(_features, "label int, buckets array<int>").toArrow()
-    rows = sorted(zip(got.column(0).to_pylist(), got.column(1).to_pylist()))  # the same model whatever order tasks end in
-    return fit(np.array([r[0] for r in rows], np.int64), [np.array(r[1], np.int64) for r in rows])
+    rows = [(y, x.values.to_numpy()) for y, x in zip(got.column(0).to_pylist(), got.column(1))]
+    rows.sort(key=lambda r: (r[0], r[1].astype(">i4").tobytes()))  # the same model whatever order tasks end in
+    return fit(np.array([r[0] for r in rows], np.int64), [r[1] for r in rows])
 
 
 def score(docs: DataFrame, machine: Machine, text_col: str = "text", keep_text: bool = True, name: str = "score") -> DataFrame:
