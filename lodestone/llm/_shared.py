@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import gc
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,21 +21,39 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; a local one only where none is set (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that the driver and all executors share, with its scheme: ``spark.checkpoint.dir``, or the context's checkpoint folder."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        context = spark.sparkContext
-        folder = context.getCheckpointDir()
-        if not folder:
-            folder = tempfile.mkdtemp(prefix="lodestone-")
-            context.setCheckpointDir(folder)
-    return folder.rstrip("/")
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(folder)
+    return qualified(spark, folder)
+
+
+def qualified(spark: SparkSession, folder: str) -> str:
+    """``folder`` with the scheme that Spark resolves it by, so that readers outside the JVM go to the same file system."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder.rstrip("/") or "/")
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return files.makeQualified(path).toString()
+
+
+@contextmanager
+def _freeing(spark: SparkSession) -> Iterator[None]:
+    """What runs within removes its shuffle files when it ends; a stage that needs them again is run again."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept on shared storage, so that neither lineage nor a lost executor recomputes it."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with _freeing(df.sparkSession):
+        return df.checkpoint(eager=True)
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -51,7 +69,8 @@ def table(df: DataFrame, name: str) -> DataFrame:
     """Like ``cut``, as compressed Parquet, whose size the planner knows when it picks a join."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    with _freeing(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -63,17 +82,37 @@ def drop_table(df: DataFrame) -> None:
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of frames that are no longer in use: it does so when the driver collects garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z only; texts of one byte a character take the fast built-in."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+def text_hash(text: Column) -> Column:
+    """With the id, the identity of a row: two texts of one id are told apart by it. Null has a hash of its own."""
+    return F.xxhash64(text)
+
+
+def same_row(left: DataFrame, right: DataFrame, ident: str = "doc", hashed: str = "th") -> Column:
+    """Rows equal in id (nulls are equal) and text hash."""
+    return left[ident].eqNullSafe(right[ident]) & (left[hashed] == right[hashed])
+
+
+def keep_first(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` without the rows that ``rows`` (``doc, th, keep``) doesn't keep, all columns unchanged.
+
+    ``rows`` holds the identity of each row of ``docs`` once for each copy. Where copies
+    equal in id and text are kept, one of them stays.
+    """
+    fate = rows.groupBy("doc", "th").agg(F.max("keep").alias("keep"), F.count(F.lit(1)).alias("n")).where("not keep or n > 1")
+    fate = table(fate, "fate")
+    doc, th, keep = (fresh(docs, c) for c in ("gone_doc", "gone_th", "gone_keep"))
+    fate = fate.select(F.col("doc").alias(doc), F.col("th").alias(th), F.col("keep").alias(keep))
+    ident, hashed = docs[id_col].cast("long"), text_hash(docs[text_col].cast("string"))
+    found = docs.join(fate, ident.eqNullSafe(F.col(doc)) & (hashed == F.col(th)), "left").where(f"`{keep}` is null or `{keep}`")
+    single = found.where(F.col(keep).isNull())
+    return single.unionByName(found.where(keep).dropDuplicates([doc, th])).select(*[f"`{c}`" for c in docs.columns])
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, lengthened until no column of ``df`` clashes with it in any case."""
     taken = {c.lower() for c in df.columns}
@@ -82,7 +121,7 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def ranked(df: DataFrame, keys: list[Column], name: str, key_names: list[str]) -> DataFrame:
+def ranked(df: DataFrame, keys: list[Column], name: str) -> DataFrame:
     """``df`` with ``name``, the place of each row from 0 in the order of ``keys``, without a single task seeing all rows.
 
     Rows are range-partitioned, sorted and written; what is collected is a count for each partition.

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm._shared import fresh, release, table
+from lodestone.llm._shared import fresh, table
 
 DIVISOR = 4
 #: Non-blank lines that a chunk must have to be removable.
@@ -103,13 +103,13 @@ def _nominator(spans: Spans):
 
 def _reader(spans: Spans):
     def bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc", pa.int64()), ("th", pa.int64()), ("no", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("body", pa.string())])
+        schema = pa.schema([("doc", pa.int64()), ("th", pa.int64()), ("no", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("is_first", pa.bool_()), ("body", pa.string())])
         for batch in batches:
             rows = []
             for doc, th, text, wanted in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 lines, parts = (text or "").split("\n"), spans(text)
-                rows += [(doc, th, w["no"], w["h1"], w["h2"], "\n".join(lines[slice(*parts[w["no"]][:2])])) for w in wanted]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 6, schema)], schema=schema)
+                rows += [(doc, th, w["no"], w["h1"], w["h2"], w["is_first"], "\n".join(lines[slice(*parts[w["no"]][:2])])) for w in wanted]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 7, schema)], schema=schema)
 
     return bodies
 
@@ -146,13 +146,13 @@ def removals(docs: DataFrame, spans: Spans = _chunk_spans) -> DataFrame:
     repeated = named.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).where("n > 1")
     repeated = table(repeated, "digests")  # so that the join has exchanges of its own, which it can split where a digest is hot
     many = table(named.join(repeated, ["h1", "h2"]).select("doc", "th", "no", "h1", "h2", F.col("first").eqNullSafe(place).alias("is_first")), "repeated")
-    wanted = many.groupBy("doc", "th").agg(F.collect_set(F.struct("no", "h1", "h2")).alias("wanted"))
+    wanted = many.groupBy("doc", "th").agg(F.collect_set(F.struct("no", "h1", "h2", "is_first")).alias("wanted"))
     on = docs["doc"].eqNullSafe(wanted["doc"]) & (docs["th"] == wanted["th"])
     bodies = docs.hint("merge").join(wanted, on).select(docs["doc"], docs["th"], "text", "wanted")
-    bodies = bodies.mapInArrow(_reader(spans), "doc long, th long, no int, h1 long, h2 long, body string")
-    compared = bodies.groupBy("h1", "h2").agg((F.min("body") == F.max("body")).alias("equal"))
-    differ = table(compared.where("not equal").select("h1", "h2"), "differ")
-    release(spark)
+    bodies = table(bodies.mapInArrow(_reader(spans), "doc long, th long, no int, h1 long, h2 long, is_first boolean, body string"), "bodies")
+    firsts = bodies.where("is_first").groupBy("h1", "h2").agg(F.min("body").alias("first_body"))
+    firsts = table(firsts, "firsts")  # the join with it can be split where a digest is hot
+    differ = table(bodies.join(firsts, ["h1", "h2"]).where("body <> first_body").select("h1", "h2").distinct(), "differ")
     gone = many.where("not is_first").join(differ, ["h1", "h2"], "left_anti").select("doc", "th", "no")
     if not differ.isEmpty():  # two texts under one digest: told apart by their bytes
         apart = table(bodies.join(differ, ["h1", "h2"], "left_semi"), "apart")
@@ -189,7 +189,6 @@ def _dedup(docs: DataFrame, id_col: str, text_col: str, spans: Spans) -> DataFra
     th, gone_col = fresh(docs, "text_hash"), fresh(docs, "gone_chunks")
     text = F.col(text_col).cast("string")
     gone = removals(docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text).alias("th"), text.alias("text")), spans)
-    release(docs.sparkSession)
     own = docs.withColumn(th, F.xxhash64(text))
     gone = gone.select(F.col("doc").alias("gone_doc"), F.col("th").alias("gone_th"), F.col("gone").alias("gone_list"))
     found = own.hint("merge").join(gone, own[id_col].cast("long").eqNullSafe(gone["gone_doc"]) & (own[th] == gone["gone_th"]), "left")

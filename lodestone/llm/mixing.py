@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lodestone.llm._shared import WORD_PATTERN, cut, fresh, ranked, table
+from lodestone.llm._shared import WORD_PATTERN, cut, fresh, ranked, table, text_hash
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
@@ -41,7 +41,7 @@ def targets(sizes: DataFrame) -> DataFrame:
     are capped rises by aggregations until none is above its cap.
     """
     stats = cut(sizes.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("size").alias("source_size")))
-    order = ranked(stats, [F.col("source").asc_nulls_last()], "place", ["source"])
+    order = ranked(stats, [F.col("source").asc_nulls_last()], "place")
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in WEIGHTS]), (F.col("place") % len(WEIGHTS) + 1).cast("int"))
     stats = cut(order.withColumn("weight", weight).drop("place"))
     whole = stats.agg(F.sum("source_size")).first()[0] or 0
@@ -64,20 +64,17 @@ def _chance(*parts) -> float:
 
 def _round_block(group: pd.DataFrame) -> pd.DataFrame:
     """Settles all rows of a block but at most one, or all if the block is its source's last."""
-    order = group.sort_values(["size", "doc_id"], ascending=[False, True], kind="stable").reset_index(drop=True)
-    share, size, ids = order["share"].to_numpy(np.float64).copy(), order["size"].to_numpy(np.float64), order["doc_id"].tolist()
+    order = group.sort_values(["size", "doc_id", "th"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
+    share, size, ids = order["share"].to_numpy(np.float64).copy(), order["size"].to_numpy(np.float64), list(zip(order["doc_id"].tolist(), order["th"].tolist()))
     held = -1
     for i in range(len(share)):
         if not 0.0 < share[i] < 1.0:
             continue
-        if not size[i]:  # no words to move
-            share[i] = float(_chance(ids[i], "empty") < share[i])
-            continue
         if held < 0:
             held = i
             continue
         give, take = min(share[held] * size[held], (1 - share[i]) * size[i]), min(share[i] * size[i], (1 - share[held]) * size[held])
-        words = -give if _chance(ids[held], ids[i], i) * (give + take) < take else take
+        words = -give if _chance(*ids[held], *ids[i], i) * (give + take) < take else take
         share[held] += words / size[held]
         share[i] -= words / size[i]
         for j in (held, i):
@@ -86,35 +83,49 @@ def _round_block(group: pd.DataFrame) -> pd.DataFrame:
         open_ = [j for j in (held, i) if 0.0 < share[j] < 1.0]
         held = open_[0] if open_ else -1
     if held >= 0 and order["blocks"].iloc[0] <= 1:
-        share[held] = float(_chance(ids[held], "last") < share[held])
+        share[held] = float(_chance(*ids[held], "last") < share[held])
     order["share"] = share
     return order
 
 
-ROW = "doc_id long, source string, size long, source_size long, target double, whole long, share double, block long, blocks long"
+ROW = "doc_id long, th long, source string, size long, n long, source_size long, target double, sure long, share double, block long, blocks long"
 
 
 def allot(docs: DataFrame) -> DataFrame:
-    """``doc_id, source, size, source_size, target, copies`` for rows of ``doc_id, source, size``."""
+    """``doc_id, th, source, size, source_size, target, n, whole, more`` for the distinct rows of ``doc_id, th, source, size``.
+
+    Each of a row's ``n`` copies in ``docs`` is taken ``whole`` times, and ``more`` of them once more.
+    Equal rows are one before any block is made, as is what is due to them together;
+    documents without words have none to give and are taken ``whole`` times.
+    """
     aims = targets(docs)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    rows = docs.join(aims.withColumnRenamed("source", "aim"), F.col("source").eqNullSafe(F.col("aim")))
-    rows = rows.withColumn("rate", rate).withColumn("whole", F.floor("rate")).withColumn("blocks", F.ceil(F.col("n_docs") / BLOCK))
+    rows = docs.groupBy("doc_id", "th", "source", "size").agg(F.count(F.lit(1)).alias("n"))
+    rows = rows.join(aims.withColumnRenamed("source", "aim"), F.col("source").eqNullSafe(F.col("aim")))
+    due = (F.col("rate") - F.floor("rate")) * F.col("n")
+    rows = rows.withColumn("rate", rate).withColumn("due", F.when(F.col("size") > 0, due).otherwise(0.0))
+    rows = rows.withColumn("blocks", F.greatest(F.ceil(F.col("n_docs") / BLOCK), F.lit(1)))
     rows = rows.select(
-        "doc_id", "source", "size", "source_size", "target", "whole", (F.col("rate") - F.col("whole")).alias("share"),
-        F.pmod(F.xxhash64("doc_id", "size"), F.col("blocks")).alias("block"), "blocks",
+        "doc_id", "th", "source", "size", "n", "source_size", "target", (F.floor("rate") * F.col("n") + F.floor("due")).alias("sure"),
+        (F.col("due") - F.floor("due")).alias("share"), F.pmod(F.xxhash64("doc_id", "size", "th"), F.col("blocks")).alias("block"), "blocks",
     )
-    done = None
+    plain = rows.where("size = 0")
+    rows, done = rows.where("size > 0"), plain
     while True:
         out = table(rows.groupBy("source", "block").applyInPandas(_round_block, ROW), "rounded")
         still = (F.col("share") > 0) & (F.col("share") < 1)
-        settled = out.where(~still)
-        done = settled if done is None else done.union(settled)
+        done = done.union(out.where(~still))
         rows = out.where(still)
         if rows.isEmpty():
             break
         rows = rows.withColumn("block", F.floor(F.col("block") / FAN_IN)).withColumn("blocks", F.ceil(F.col("blocks") / FAN_IN))
-    return done.select("doc_id", "source", "size", "source_size", "target", (F.col("whole") + F.col("share").cast("long")).alias("copies"))
+    all_ = F.col("sure") + F.col("share").cast("long")
+    return done.select("doc_id", "th", "source", "size", "source_size", "target", "n", F.floor(all_ / F.col("n")).alias("whole"), (all_ % F.col("n")).alias("more"))
+
+
+def _sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_hash(text).alias("th"), F.col(source_col).cast("string").alias("source"), size_of(text).alias("size"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -122,27 +133,34 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     ``taken`` is the size times the copies, at most ``CAP``. Null and blank texts have
     size 0 and take nothing, a source without words has target 0, a null source is one
-    more source, and null ids are ids. Rows equal in id and size are told apart only by
-    the order they are met in, which changes which of them is taken, not how many.
+    more source, and null ids are ids. Ties of weight can't occur: places among the sources
+    decide. Of rows equal in id, text and source it is open which is taken once more, but not
+    how many are. An empty table gives no rows.
     """
-    sizes = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), size_of(F.col(text_col).cast("string")).alias("size"))
-    got = allot(table(sizes, "sizes"))
+    got = allot(table(_sizes(docs, id_col, text_col, source_col), "sizes"))
+    each = F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))
+    got = got.withColumn("nth", each).withColumn("copies", F.col("whole") + (F.col("nth") <= F.col("more")).cast("long"))
     return got.select(F.col("doc_id").alias(id_col), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
 def repeat(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """``docs`` as mixed: each row as often as the mix takes it, with ``copy`` numbering its copies from 1."""
-    nth, size, key, none, copies = (fresh(docs, c) for c in ("nth", "size", "id_or_zero", "id_is_null", "copies"))
-    at = [key, none, size]
-    taken = mix(docs, id_col, text_col, source_col).select(*_known(F.col(id_col), F.col("size"), at), F.col("copies").alias("taken_copies"))
-    taken = taken.groupBy(*at).agg(F.sort_array(F.collect_list("taken_copies"), False).alias(copies))
-    own = docs.select("*", *_known(F.col(id_col).cast("long"), size_of(F.col(text_col).cast("string")), at))
-    found = own.hint("merge").join(taken, at).withColumn(nth, F.row_number().over(Window.partitionBy(*at).orderBy(key)))
-    found = found.withColumn(copies, F.element_at(F.col(copies), F.col(nth)).cast("int")).where(F.col(copies) > 0)
-    number = fresh(docs, "copy")
-    return found.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(copies))).alias(number))
-
+    """``docs`` as mixed: each row as often as the mix takes it, all columns unchanged.
 
-def _known(ident: Column, size: Column, names: list[str]) -> list[Column]:
-    """A document's id without nulls and its size: texts are shuffled by these once, for the join and to number equal rows."""
-    return [c.alias(n) for c, n in zip((F.coalesce(ident, F.lit(0)), ident.isNull(), size), names)]
+    A further column ``copy`` (lengthened by ``_`` where a column has the name) numbers its copies from 1.
+    Edge cases are those of ``mix``; documents without words come ``whole`` times, which is
+    what every document of their source comes at least.
+    """
+    nth, doc, none, th, source, copies = (fresh(docs, c) for c in ("nth", "id_or_zero", "id_is_null", "text_hash", "mix_source", "copies"))
+    at = [doc, none, th, source]
+
+    def known(ident: Column, hashed: Column, origin: Column) -> list[Column]:
+        """The identity of a row without nulls: texts are shuffled by it once, for the join and to number equal rows."""
+        return [c.alias(n) for c, n in zip((F.coalesce(ident, F.lit(0)), ident.isNull(), hashed, F.coalesce(F.concat(F.lit("="), origin), F.lit(""))), at)]
+
+    taken = allot(table(_sizes(docs, id_col, text_col, source_col), "sizes"))
+    taken = table(taken.select(*known(F.col("doc_id"), F.col("th"), F.col("source")), F.col("whole").alias(copies), F.col("more").alias(f"{copies}_more")), "taken")
+    own = docs.select("*", *known(F.col(id_col).cast("long"), text_hash(F.col(text_col).cast("string")), F.col(source_col).cast("string")))
+    found = own.hint("merge").join(taken, at).withColumn(nth, F.row_number().over(Window.partitionBy(*at).orderBy(doc)))
+    found = found.withColumn(copies, (F.col(copies) + (F.col(nth) <= F.col(f"{copies}_more")).cast("long")).cast("int")).where(F.col(copies) > 0)
+    number = fresh(docs, "copy")
+    return found.select(*[f"`{c}`" for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col(copies))).alias(number))

@@ -6,19 +6,24 @@ variants a fingerprint. So one of three bit blocks (22, 21 and 21 bits) is left
 turn. Two fingerprints that differ in 1 to 3 bits differ in at most 2 outside one of the
 blocks, so their radius-1 balls over the remaining 42 or 43 bits share a variant: 131
 variants a fingerprint, none lost. Rows that share a variant are verified on all 64 bits.
+
+``keep_one`` takes a similarity of shingle sets instead of a number of bits: see ``similar``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm._shared import cut, fresh, table
+from lodestone.llm import similar
+from lodestone.llm._shared import cut, keep_first, table, text_hash
 from lodestone.llm.components import connected_components
 
 RADIUS = 3
@@ -26,6 +31,8 @@ SHINGLE = 3
 SEED = 42
 #: Shingles whose bits are counted at once: bounds memory for very long texts.
 CHUNK = 1 << 16
+#: Fingerprints under one variant that a task compares; more are dealt out in squares of so many.
+GROUP = 1 << 14
 #: (number of low bits kept below the block, width of the block)
 BLOCKS = ((0, 22), (22, 21), (43, 21))
 
@@ -51,14 +58,15 @@ def fingerprint(text: str | None) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = np.array([fingerprint(x.as_py()) for x in batch.column(1)], dtype=np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], ["id", "fp"])
+        found = np.array([fingerprint(x.as_py()) for x in batch.column(2)], dtype=np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.int64())], ["doc", "th", "fp"])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, fp`` (signed 64 bits) of every row; the whole text counts."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_fingerprints, "id long, fp long")
+    """``doc, th, fp`` (id, text hash, signed 64 bits) of every row; the whole text counts."""
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc"), text_hash(text).alias("th"), text.alias("text"))
+    return rows.mapInArrow(_fingerprints, "doc long, th long, fp long")
 
 
 def _variants(fp: Column) -> Column:
@@ -102,9 +110,13 @@ def spanning_links(values: np.ndarray, radius: int = RADIUS) -> list[tuple[int,
     return links
 
 
-def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by key; a group that a batch ends in is carried to the next."""
+def _links(batches: Iterator[pa.RecordBatch], limit: int = GROUP) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by key; a group that a batch ends in is carried to the next.
+
+    A group beyond ``limit`` isn't gathered: its key is returned with a null partner.
+    """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    hot: int | None = None
 
     def resolve(keys: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
         starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.empty(0, np.int64)
@@ -113,20 +125,29 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = fps[pairs], fps[pairs + 1]
         near = (distances(a, b) <= RADIUS) & (a != b)
         a, b = [a[near]], [b[near]]
-        for start, size in zip(starts[sizes > 2], sizes[sizes > 2]):
+        large = starts[sizes > limit]
+        for start, size in zip(starts[(sizes > 2) & (sizes <= limit)], sizes[(sizes > 2) & (sizes <= limit)]):
             links = spanning_links(np.unique(fps[start : start + size]))
             a.append(np.array([x for x, _ in links], np.int64))
             b.append(np.array([y for _, y in links], np.int64))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], schema=schema)
+        a, b = np.concatenate([*a, keys[large]]), np.concatenate([*b, np.zeros(len(large), np.int64)])
+        partner = pa.array(b, pa.int64(), mask=np.arange(len(b)) >= len(b) - len(large))
+        return pa.RecordBatch.from_arrays([pa.array(a), partner], schema=schema)
 
     pending: list[tuple[np.ndarray, np.ndarray]] = []
     for batch in batches:
         keys, fps = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        if hot is not None:
+            keys, fps = keys[keys != hot], fps[keys != hot]
         if not len(keys):
             continue
+        hot = None
         pending.append((keys, fps))
-        if keys[-1] == pending[0][0][0]:
-            continue  # one group so far
+        if keys[-1] == pending[0][0][0]:  # one group so far
+            if sum(len(k) for k, _ in pending) > limit:
+                hot, pending = int(keys[-1]), []
+                yield pa.RecordBatch.from_arrays([pa.array([hot], pa.int64()), pa.array([None], pa.int64())], schema=schema)
+            continue
         keys, fps = (np.concatenate([p[i] for p in pending]) for i in (0, 1))
         last = int(np.searchsorted(keys, keys[-1], "left"))
         pending = [(keys[last:], fps[last:])]
@@ -135,10 +156,28 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield resolve(*(np.concatenate([p[i] for p in pending]) for i in (0, 1)))
 
 
-def links(distinct_fps: DataFrame) -> DataFrame:
-    """``a, b``: links between distinct fingerprints that connect all within the radius."""
+def _square(group: pd.DataFrame) -> pd.DataFrame:
+    links = spanning_links(np.unique(group["fp"].to_numpy(np.int64)))
+    return pd.DataFrame({"a": np.array([x for x, _ in links], np.int64), "b": np.array([y for _, y in links], np.int64)})
+
+
+def links(distinct_fps: DataFrame, limit: int = GROUP) -> DataFrame:
+    """``a, b``: links between distinct fingerprints that connect all within the radius.
+
+    Fingerprints that share a variant are compared by one task, beyond ``limit`` by one a square.
+    """
     keyed = distinct_fps.select(F.explode(_variants(F.col("fp"))).alias("key"), "fp")
-    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_links, "a long, b long")
+    found = table(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(partial(_links, limit=limit), "a long, b long"), "links")
+    some = found.where("b is not null")
+    hot = found.where("b is null").select(F.col("a").alias("key"))
+    if hot.isEmpty():
+        return some
+    crowded = keyed.join(table(hot.distinct(), "crowded"), "key")
+    sizes = table(crowded.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / (limit // 2)).cast("int").alias("parts")), "parts")
+    dealt = crowded.join(sizes, "key").withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.select("key", F.least("mine", "other").alias("row"), F.greatest("mine", "other").alias("col"), "fp")
+    return some.union(dealt.groupBy("key", "row", "col").applyInPandas(_square, "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -149,23 +188,44 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Equal fingerprints are one class before any variant is made, so thousands of copies
     cost one. Null and blank texts have fingerprint zero and link like any other. Null
     ids take part, never become a ``component_id`` (null if a class has no other), and
-    aren't kept unless so. Rows that share an id share its fate.
+    aren't kept unless so. Rows that share an id are rows of their own. Empty tables give no rows.
     """
-    rows = cut(fingerprints(docs, id_col, text_col))
-    classes = cut(rows.groupBy("fp").agg(F.min("id").alias("least")))
-    linked = connected_components(links(classes.select("fp")))
-    roots = classes.join(linked, classes.fp == linked.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
-    least = table(roots.groupBy("root").agg(F.min("least").alias("component_id")), "roots")  # so that the join has exchanges of its own
-    labels = roots.join(least, "root").select("fp", "component_id")
+    rows, labels = _labelled(docs, id_col, text_col)
     return rows.join(labels, "fp").select(
-        F.col("id").alias(id_col),
+        F.col("doc").alias(id_col),
         F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
         "component_id",
-        F.col("id").eqNullSafe(F.col("component_id")).alias("kept"),
+        F.col("doc").eqNullSafe(F.col("component_id")).alias("kept"),
     )
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each class left, all its columns unchanged."""
-    gone, key = near_duplicates(docs, id_col, text_col).where("not kept"), fresh(docs, "gone_id")
-    return docs.join(gone.select(F.col(id_col).alias(key)).distinct(), docs[id_col].eqNullSafe(F.col(key)), "left_anti")
+def _labelled(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """``doc, th, fp`` of all rows, and ``fp, root, component_id`` of all fingerprints."""
+    rows = cut(fingerprints(docs, id_col, text_col))
+    classes = cut(rows.groupBy("fp").agg(F.min("doc").alias("least")))
+    linked = connected_components(links(classes.select("fp")))
+    roots = classes.join(linked, classes.fp == linked.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
+    least = table(roots.groupBy("root").agg(F.min("least").alias("component_id")), "roots")  # so that the join has exchanges of its own
+    return rows, roots.join(least, "root").select("fp", "root", "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None) -> DataFrame:
+    """``docs`` with one row of each class left, all its columns unchanged.
+
+    The smallest id stays, of equal ids the smallest text hash, null ids only where a class
+    has no other; of rows equal in id and text one stays. Rows are told apart by id and
+    text, so no row goes for sharing an id, null or not, with another. Null, empty and blank texts
+    are one class; an empty table stays empty.
+
+    Classes are those of ``near_duplicates``, or with ``similarity`` connected by pairs whose
+    sets of five-word shingles have that Jaccard similarity or more.
+    """
+    if similarity is None:
+        rows, labels = _labelled(docs, id_col, text_col)
+        placed = rows.join(labels.select("fp", "root"), "fp").select("doc", "th", "root")
+    else:
+        placed = similar.classes(docs, similarity, id_col, text_col)
+    placed = table(placed, "placed")
+    order = F.struct(F.col("doc").isNull(), "doc", "th")
+    first = table(placed.groupBy("root").agg(F.min(order).alias("first")), "firsts")
+    return keep_first(docs, placed.join(first, "root").select("doc", "th", (order == F.col("first")).alias("keep")), id_col, text_col)

@@ -6,15 +6,19 @@ at least one k-gram whose hash both sides keep. A kept hash that meets is a hit;
 extended word by word to both sides, on the words themselves, and counts if the run
 reaches the window length. Items shorter than that are one window of their own length:
 for those few lengths (at most nine) every n-gram hash of a document is held, and a hit
-must equal the whole item.
+must equal the whole item. Equal places of many items are one place with a list of items.
+
+Rows are told apart by id and text, so rows that share an id, null or not, are judged apart.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm._shared import ascii_lower, fresh, table
+from lodestone.llm._shared import ascii_lower, fresh, same_row, table, text_hash
 
 N = 10
 K = 5
@@ -28,29 +32,40 @@ def words(text: Column) -> Column:
     return F.coalesce(F.array_remove(F.split(ascii_lower(text), GAPS), ""), F.array().cast("array<string>"))
 
 
-def _grams(hashes: Column, n: int) -> Column:
-    """The hash of the n words from each position that has so many; ``hashes`` is a plain column, as it is read at each position."""
-    return F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size(hashes) - n + 1, F.lit(1))),
-        lambda i: F.xxhash64(*[F.try_element_at(hashes, i + F.lit(j)) for j in range(n)]),
-    )
+def _joined(a: Column, b: Column, shift: int, merge) -> Column:
+    """``merge`` of each element of ``a`` with the one of ``b`` that lies ``shift`` places on, as long as there is one."""
+    n = F.greatest(F.least(F.size(a), F.size(b) - shift), F.lit(0))
+    return F.zip_with(F.slice(a, 1, n), F.slice(b, 1 + shift, n), merge)
 
 
-def _word_hashes(tokens: Column) -> Column:
-    return F.transform(tokens, lambda w: F.xxhash64(w))
+def _with_grams(df: DataFrame, n: int, name: str) -> DataFrame:
+    """Adds the hashes of the n words from each position that has so many; those of 1, 2, 4 and 8 words are put together."""
+    df = df.withColumn("__p1", F.transform("words", lambda w: F.xxhash64(w)))
+    both = lambda x, y: F.xxhash64(x, y)
+    width = 1
+    while width * 2 <= n:
+        df = df.withColumn(f"__p{width * 2}", _joined(F.col(f"__p{width}"), F.col(f"__p{width}"), width, both))
+        width *= 2
+    df, held = df.withColumn("__gram", F.col(f"__p{width}")), width
+    while held < n:
+        width //= 2
+        if held + width <= n:
+            df = df.withColumn("__gram", _joined(F.col("__gram"), F.col(f"__p{width}"), held, both))
+            held += width
+    return df.withColumn(name, F.col("__gram")).drop("__gram", *[f"__p{1 << i}" for i in range(4)])
 
 
 def _kept_hashes(df: DataFrame, short: list[int]) -> DataFrame:
     """Adds ``fps``: the winnowed hashes of ``words`` and, for each short length, all n-gram hashes."""
     none = F.array().cast("array<bigint>")
-    df = df.withColumn("__wh", _word_hashes(F.col("words"))).withColumn("__grams", _grams(F.col("__wh"), K))
-    least = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size("__grams") - WINDOW + 1, F.lit(1))),
-        lambda i: F.array_min(F.slice("__grams", i, WINDOW)),
-    )
-    parts = [F.when(F.size("words") >= N, least).otherwise(none)]
-    parts += [F.when(F.size("words") >= n, _grams(F.col("__wh"), n)).otherwise(none) for n in short]
-    return df.withColumn("fps", F.array_distinct(F.concat(*parts))).drop("__wh", "__grams")
+    df = _with_grams(df, K, "__m1")
+    least = lambda x, y: F.least(x, y)
+    df = df.withColumn("__m2", _joined(F.col("__m1"), F.col("__m1"), 1, least)).withColumn("__m4", _joined(F.col("__m2"), F.col("__m2"), 2, least))
+    df = df.withColumn("__m6", _joined(F.col("__m4"), F.col("__m2"), 4, least))  # the minimum of WINDOW grams
+    for n in short:
+        df = _with_grams(df, n, f"__s{n}")
+    parts = [F.when(F.size("words") >= N, F.col("__m6")).otherwise(none), *[F.col(f"__s{n}") for n in short]]
+    return df.withColumn("fps", F.array_distinct(F.concat(*parts))).drop("__m1", "__m2", "__m4", "__m6", *[f"__s{n}" for n in short])
 
 
 def _short_lengths(items: DataFrame) -> list[int]:
@@ -58,23 +73,46 @@ def _short_lengths(items: DataFrame) -> list[int]:
     return sorted(r[0] for r in items.where((n > 0) & (n < N)).select(n).distinct().collect())
 
 
-def _positions(df: DataFrame, n: int, reach: int, keep: Column | None, carry: list[str]) -> DataFrame:
-    """A row for each n-gram (of those in the array ``keep``, if given): hash, position, its words, and ``reach`` words to either side, nearest first."""
-    df = df.where(F.size("words") >= n).withColumn("__wh", _word_hashes(F.col("words"))).withColumn("__g", _grams(F.col("__wh"), n))
-    at = F.sequence(F.lit(1), F.size("__g"))
-    if keep is not None:
-        at = F.filter(at, lambda i: F.array_contains(keep, F.element_at("__g", i)))
+def _exploded(df: DataFrame, array: Column, name: str, *carry: str) -> DataFrame:
+    """A row for each element. Not by a plain explode: the filter on sizes inferred for one is pushed down, and computes the array anew at each step that led to it."""
+    return df.select(*carry, F.explode_outer(array).alias(name)).where(F.col(name).isNotNull())
+
+
+def _numbered(n: int):
+    return lambda g, i: F.struct(F.lit(n).alias("n"), (i + 1).alias("i"), g.alias("fp"))
+
+
+def _places(df: DataFrame, reach: int, carry: list[str]) -> DataFrame:
+    """A row for each element ``n, i, fp`` of the array ``at``: these, the n words from position i, and ``reach`` words to either side, nearest first."""
     rows = F.transform(
-        at,
-        lambda i: F.struct(
-            F.element_at("__g", i).alias("fp"),
-            (i - 1).alias("at"),
-            F.slice("words", i, n).alias("gram"),
-            F.reverse(F.slice("words", F.greatest(i - reach, F.lit(1)), F.least(i - 1, F.lit(reach)))).alias("before"),
-            F.slice("words", i + n, reach).alias("after"),
+        "at",
+        lambda p: F.struct(
+            p["n"].alias("n"),
+            p["fp"].alias("fp"),
+            p["i"].alias("i"),
+            F.slice("words", p["i"], p["n"]).alias("gram"),
+            F.reverse(F.slice("words", F.greatest(p["i"] - reach, F.lit(1)), F.least(p["i"] - 1, F.lit(reach)))).alias("before"),
+            F.slice("words", p["i"] + p["n"], reach).alias("after"),
         ),
     )
-    return df.select(*carry, F.explode(rows).alias("__r")).select(*carry, "__r.*", F.lit(n).alias("n"))
+    return _exploded(df, rows, "__r", *carry).select(*carry, "__r.*")
+
+
+def _item_places(items: DataFrame, short: list[int], reach: int) -> tuple[DataFrame, DataFrame]:
+    """The distinct places of the items (``n, fp, place, i_gram, i_before, i_after``) and ``place, item_id``: who holds each.
+
+    Those of the kept k-grams of long items, or the whole of each item of a ``short`` length.
+    """
+    if short:
+        own = [_with_grams(items.where(F.size("words") == n), n, "__g").withColumn("at", F.transform("__g", _numbered(n))) for n in short]
+        df = reduce(DataFrame.union, [x.select("item_id", "words", "at") for x in own])
+    else:
+        df = _with_grams(_kept_hashes(items.where(F.size("words") >= N), []), K, "__g")
+        df = df.withColumn("at", F.filter(F.transform("__g", _numbered(K)), lambda p: F.array_contains("fps", p["fp"])))
+    rows = _places(df, reach, ["item_id"]).withColumn("place", F.xxhash64("n", "gram", F.lit("|"), "before", F.lit("|"), "after"))
+    rows = table(rows.select("item_id", "n", "fp", "place", *[F.col(c).alias(f"i_{c}") for c in ("gram", "before", "after")]), "places")
+    first = rows.groupBy("place").agg(F.first(F.struct("n", "fp", "i_gram", "i_before", "i_after")).alias("r")).select("place", "r.*")
+    return table(first, "place"), rows.select("place", "item_id").distinct()
 
 
 def _common(a: str, b: str) -> Column:
@@ -84,28 +122,28 @@ def _common(a: str, b: str) -> Column:
     return F.when(first == 0, F.size(same)).otherwise(first - 1).cast("int")
 
 
-def hits(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """``doc_id, item_id, first, last``: word runs of a document that lie in an item, each at least a window long.
+def hits(docs: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``doc, th, place, first, last``, word runs of a document that lie in an item, each at least a window long; and ``place, item_id``.
 
-    ``docs`` has ``doc_id, words`` and ``wanted``, the hashes that met; ``items`` has ``item_id, words``.
+    ``docs`` has ``doc, th, words``; ``items`` has ``item_id, words``.
     """
-    short = _short_lengths(items)
-    found = None
-    for n, whole in [(K, False), *((n, True) for n in short)]:  # an item may have K words as well
-        reach = 0 if whole else N - K
-        left = _positions(docs, n, reach, F.col("wanted"), ["doc_id"])
-        if whole:
-            right = _positions(items.where(F.size("words") == n), n, reach, None, ["item_id"])
-        else:
-            right = _positions(_kept_hashes(items.where(F.size("words") >= N), []), n, reach, F.col("fps"), ["item_id"])
-        right = right.select("item_id", "fp", *[F.col(c).alias(f"i_{c}") for c in ("gram", "before", "after")])
-        met = left.join(right, "fp").where("gram = i_gram")
-        run = met.select("doc_id", "item_id", "at", "n", _common("before", "i_before").alias("b"), _common("after", "i_after").alias("a"))
-        if not whole:
+    found, held, lengths = None, None, _short_lengths(items)
+    for short in [[], lengths] if lengths else [[]]:  # an item may have K words as well
+        reach, grams = 0 if short else N - K, docs
+        right, owners = _item_places(items, short, reach)
+        for n in short or [K]:
+            grams = _with_grams(grams, n, f"__g{n}")
+        every = F.concat(*[F.transform(f"__g{n}", _numbered(n)) for n in short or [K]])
+        met = _exploded(grams, every, "p", "doc", "th").select("doc", "th", "p.*").join(right.select("n", "fp").distinct(), ["n", "fp"], "left_semi")
+        met = table(met.groupBy("doc", "th").agg(F.collect_set(F.struct("n", "i", "fp")).alias("at")), "met")
+        left = _places(docs.join(met, same_row(docs, met)).select(docs["doc"], docs["th"], "words", "at"), reach, ["doc", "th"])
+        run = left.join(right, ["n", "fp"]).where("gram = i_gram")
+        run = run.select("doc", "th", "place", "i", "n", _common("before", "i_before").alias("b"), _common("after", "i_after").alias("a"))
+        if not short:
             run = run.where(F.col("b") + K + F.col("a") >= N)
-        run = run.select("doc_id", "item_id", (F.col("at") - F.col("b")).alias("first"), (F.col("at") + F.col("n") + F.col("a") - 1).alias("last"))
-        found = run if found is None else found.union(run)
-    return found.distinct()
+        run = run.select("doc", "th", "place", (F.col("i") - 1 - F.col("b")).alias("first"), (F.col("i") + F.col("n") + F.col("a") - 2).alias("last"))
+        found, held = (run, owners) if found is None else (found.union(run), held.union(owners))
+    return found, held
 
 
 def contamination(
@@ -117,59 +155,72 @@ def contamination(
     item, or all words of a shorter one). ``items_sha256`` is of the ids of all items with
     a window that occurs, sorted as strings and comma-joined (of the empty string if
     none). Null and empty texts have no words and no hits; items without words match
-    nothing; null item ids count as hits but name no item. Rows of ``docs`` that share an
-    id are judged together in ``n_hit`` and the items, each keeping its own ``n_words``.
+    nothing; null item ids count as hits but name no item, and items that repeat an id are
+    one in the counts. Rows that share an id are judged each by its own text. Empty tables are none contaminated.
 
-    Only hashes that meet are shuffled; a side is broadcast when Spark finds it small
-    enough, and a hash that many documents share is split by the skew-join rule.
+    Only hashes that meet are shuffled, and texts of documents that hold one are looked
+    at again. What is joined with documents is written as a table first, so Spark broadcasts
+    it if small enough and else splits a hash that many documents share.
     """
+    rows, per_doc = _judged(docs, benchmark, id_col, text_col, item_col, item_text)
+    found = rows.join(per_doc, same_row(rows, per_doc), "left")
+    n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
+    return found.select(
+        rows["doc"].alias(id_col),
+        "n_words",
+        n_hit.alias("n_hit"),
+        F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"),
+        F.coalesce("items_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("items_sha256"),
+        (n_hit > 0).alias("contaminated"),
+    )
+
+
+def _judged(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text: str) -> tuple[DataFrame, DataFrame]:
+    """``doc, th, n_words`` of all rows; ``doc, th, n_hit, n_items, items_sha256`` of the contaminated ones."""
     text = F.col(text_col).cast("string")
-    rows = docs.select(F.col(id_col).alias("doc_id"), words(text).alias("words"))
+    source = docs.select(F.col(id_col).alias("doc"), text_hash(text).alias("th"), text.alias("text"))
     items = table(benchmark.select(F.col(item_col).alias("item_id"), words(F.col(item_text).cast("string")).alias("words")), "items")
-    kept = _kept_hashes(rows, _short_lengths(items)).select("doc_id", F.size("words").cast("long").alias("n_words"), "fps")
-    kept = table(kept, "fingerprints")
-    theirs = _item_hashes(items)
-    met = kept.select("doc_id", F.explode("fps").alias("fp")).join(theirs, "fp", "left_semi")
-    met = table(met.groupBy("doc_id").agg(F.collect_set("fp").alias("wanted")), "met")
-    near = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
-    near = near.join(met.withColumnRenamed("doc_id", "met_id"), F.col("doc_id").eqNullSafe(F.col("met_id")))
-    near = near.select("doc_id", words(F.col("text")).alias("words"), "wanted")
-    runs = hits(near, items)
-    per_doc = runs.groupBy("doc_id").agg(
-        F.collect_set(F.struct("first", "last")).alias("runs"), F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items")
-    )
+    kept = _kept_hashes(source.select("doc", "th", words(F.col("text")).alias("words")), _short_lengths(items))
+    kept = table(kept.select("doc", "th", F.size("words").cast("long").alias("n_words"), "fps"), "fingerprints")
+    met = kept.select("doc", "th", F.explode("fps").alias("fp")).join(table(_item_hashes(items), "hashes"), "fp", "left_semi")
+    met = table(met.select("doc", "th").distinct(), "met")
+    near = source.join(met, same_row(source, met), "left_semi").dropDuplicates(["doc", "th"])
+    near = table(near.select("doc", "th", words(F.col("text")).alias("words")), "near")
+    runs, owners = hits(near, items)
+    runs = table(runs.distinct(), "runs")
+    places = runs.select("doc", "th", "place").distinct()
+    named = places.join(table(owners, "owners"), "place").groupBy("doc", "th").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
+    spans = runs.groupBy("doc", "th").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
     covered = F.array_distinct(F.flatten(F.transform("runs", lambda r: F.sequence(r["first"], r["last"]))))
-    per_doc = per_doc.select(
-        F.col("doc_id").alias("hit_id"),
+    per_doc = spans.join(named, same_row(spans, named)).select(
+        spans["doc"],
+        spans["th"],
         F.size(covered).cast("long").alias("n_hit"),
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
     )
-    found = kept.select("doc_id", "n_words").join(per_doc, F.col("doc_id").eqNullSafe(F.col("hit_id")), "left")
-    return found.select(
-        F.col("doc_id").alias(id_col),
-        "n_words",
-        F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
-        F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"),
-        F.coalesce("items_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("items_sha256"),
-        (F.coalesce("n_hit", F.lit(0).cast("long")) > 0).alias("contaminated"),
-    )
+    return kept.select("doc", "th", "n_words"), table(per_doc, "hit")
 
 
 def _item_hashes(items: DataFrame) -> DataFrame:
     """``fp``: what the items keep, each hash once."""
-    long = _kept_hashes(items.where(F.size("words") >= N), []).select(F.explode("fps").alias("fp"))
+    found = _exploded(_kept_hashes(items.where(F.size("words") >= N), []), F.col("fps"), "fp")
     for n in _short_lengths(items):
-        own = items.where(F.size("words") == n).withColumn("__wh", _word_hashes(F.col("words")))
-        long = long.union(own.select(F.explode(_grams(F.col("__wh"), n)).alias("fp")))
-    return long.distinct()
+        found = found.union(_exploded(_with_grams(items.where(F.size("words") == n), n, "__g"), F.col("__g"), "fp"))
+    return found.distinct()
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """``docs`` without the contaminated ones, all columns unchanged."""
-    key = fresh(docs, "hit_id")
-    bad = contamination(docs, benchmark, id_col, text_col, item_col, item_text).where("contaminated")
-    return docs.join(bad.select(F.col(id_col).alias(key)).distinct(), docs[id_col].eqNullSafe(F.col(key)), "left_anti")
+    """``docs`` without the contaminated rows, all columns unchanged.
+
+    A row goes by its own text: others that share its id, null or not, stay. Repeated rows stay or go
+    together, null and empty texts stay, and without items all rows do.
+    """
+    _, bad = _judged(docs, benchmark, id_col, text_col, item_col, item_text)
+    key, hashed = fresh(docs, "hit_doc"), fresh(docs, "hit_th")
+    bad = bad.select(F.col("doc").alias(key), F.col("th").alias(hashed))
+    on = docs[id_col].eqNullSafe(F.col(key)) & (text_hash(docs[text_col].cast("string")) == F.col(hashed))
+    return docs.join(bad, on, "left_anti")
 
 
 def _sql_words(column: str) -> str:

@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lodestone.llm import language, line_chunks, linkgraph, mixing, simhash, similar, toxicity, vectors, warc
+from lodestone.llm import language, line_chunks, linkgraph, mixing, simhash, similar, toxicity, vectors, warc, winnowing
 from lodestone.llm._shared import ranked, read
 from lodestone.llm.components import connected_components
 from lodestone.llm.queries import QUERIES
@@ -56,7 +56,7 @@ def test_components_of_chains_stars_and_loops(spark):
 
 
 def test_ranks(spark):
-    found = ranked(spark.range(1000).withColumn("k", F.col("id") * 7919 % 1000).repartition(7), [F.col("k")], "place", ["k"])
+    found = ranked(spark.range(1000).withColumn("k", F.col("id") * 7919 % 1000).repartition(7), [F.col("k")], "place")
     assert all(r.k == r.place for r in found.collect())
 
 
@@ -114,10 +114,32 @@ def test_simhash_edges(spark):
     got = {r.doc_id: (r.component_id, r.kept) for r in simhash.near_duplicates(docs).collect()}
     assert got == {0: (0, True), 1: (1, True), 2: (1, False), 3: (1, False), 4: (0, False), 5: (5, True), 6: (5, False), None: (5, False)}
     kept = simhash.keep_one(docs)
-    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [0, 0, 1, 5]
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [0, 1, 5]  # of the repeated row one stays
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("similarity", [None, 0.8])
+def test_unique_texts_stay_under_null_and_repeated_ids(spark, similarity):
+    copy = "one text that three rows hold under ids of their own"
+    made = [(None, "u n i q u e text here"), (3, copy), (None, copy), (7, "totally other words"), (7, copy), (3, copy)]
+    docs = spark.createDataFrame([(*r, i) for i, r in enumerate(made)], "doc_id long, text string, keep long")
+    kept = sorted(((r.doc_id, r.text) for r in simhash.keep_one(docs, similarity=similarity).collect()), key=repr)
+    assert kept == sorted([made[0], made[1], made[3]], key=repr)
+    clean = winnowing.clean(docs, spark.createDataFrame([(1, copy)], "item_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.text) for r in clean), key=repr) == sorted([made[0], made[3]], key=repr)
+    judged = winnowing.contamination(docs, spark.createDataFrame([(1, copy)], "item_id long, text string")).collect()
+    assert sorted((r.n_words, r.n_hit) for r in judged) == [(3, 0), (8, 0), *[(11, 11)] * 4]
+
+
+def test_a_crowded_variant_is_dealt_out(spark):
+    pick = random.Random(3)
+    base = pick.getrandbits(63)
+    fps = {base ^ pick.getrandbits(8) for _ in range(200)} | {base ^ (pick.getrandbits(6) << 40) for _ in range(60)}
+    found = simhash.links(spark.createDataFrame([(x,) for x in fps], "fp long"), limit=16).collect()
+    expected = classes(fps, [(a, b) for i, a in enumerate(sorted(fps)) for b in sorted(fps)[:i] if (a ^ b).bit_count() <= 3])
+    assert classes(fps, found) == expected
+
+
 # Shingle sets
 
 
@@ -146,7 +168,7 @@ def test_one_of_each_similar_group_stays(spark, sf):
     kept = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(list(texts.items()), "doc_id long, text string"), sf)
     assert {r.doc_id for r in kept.collect()} == plain_similar(texts.items())
     docs = read(spark, sf, "documents")
-    assert {r.doc_id for r in similar.keep_one(docs).collect()} == plain_similar([(r.doc_id, r.text) for r in docs.collect()])
+    assert {r.doc_id for r in simhash.keep_one(docs, similarity=0.8).collect()} == plain_similar([(r.doc_id, r.text) for r in docs.collect()])
 
 
 # Toxicity
@@ -471,7 +493,7 @@ def test_mixing_is_unbiased():
     total = np.zeros(40)
     for trial in range(400):
         ids = list(range(trial * 1000, trial * 1000 + 40))
-        group = pd.DataFrame({"doc_id": ids, "size": [5 + i % 7 for i in range(40)], "share": 0.3, "blocks": 1})
+        group = pd.DataFrame({"doc_id": ids, "th": 0, "size": [5 + i % 7 for i in range(40)], "share": 0.3, "blocks": 1})
         done = mixing._round_block(group).sort_values("doc_id")
         assert set(done["share"]) <= {0.0, 1.0}
         total += done["share"].to_numpy()

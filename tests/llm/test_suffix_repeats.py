@@ -4,7 +4,7 @@ import hashlib
 import random
 from collections import Counter
 
-import pytest
+import numpy as np
 
 from lodestone.llm import suffix_repeats as sr
 from lodestone.llm._shared import read
@@ -49,25 +49,43 @@ def cases():
     return texts
 
 
-@pytest.mark.parametrize("segment", [64, sr.SEGMENT])
-def test_edits_runs_and_edges(spark, segment):
+def test_edits_runs_and_edges(spark):
     texts = cases()
     docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, th string")
-    if segment != sr.SEGMENT:  # the pieces of a long text, on the driver
-        for t in texts:
-            whole = [tuple(map(list, x)) for x in sr.anchors((t or "").encode())]
-            if whole:
-                places = {(g, p) for g, p in zip(whole[0][0], whole[0][1])}
-                old, sr.SEGMENT = sr.SEGMENT, segment
-                try:
-                    parts = {(g, p) for x in sr.anchors((t or "").encode()) for g, p in zip(x[0], x[1])}
-                finally:
-                    sr.SEGMENT = old
-                assert len(parts) == len(places)
-        return
     assert got(sr.remove_repeats(docs)) == sorted((i, *b) for i, b in enumerate(brute(texts)))
 
 
+def test_a_text_beyond_a_segment(spark):
+    pick = random.Random(11)
+    noise = "".join(pick.choice("abcdefghij klmnopq") for _ in range(1_200_000))
+    texts = [noise, noise[500_000:500_400], "x" + noise[sr.SEGMENT - 150 : sr.SEGMENT + 150] + "y", None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    expected = sorted((i, *b) for i, b in enumerate(brute(texts)))
+    assert got(sr.remove_repeats(docs)) == expected and expected[0][2] == 700
+
+
+def test_anchors_depend_on_content_alone():
+    data = [(t or "").encode() for t in cases()]
+    raw, places = np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)])
+    for t, one in enumerate(data):
+        alone = [x for s in sr.anchors(np.frombuffer(one, np.uint8), np.array([0, len(one)])) for x in zip(s[0], *s[4:])]
+        among = [x for s in sr.anchors(raw, places) for x in zip(s[0][s[3] == t], *(c[s[3] == t] for c in s[4:]))]
+        assert {x[:2] for x in alone} == {x[:2] for x in among}
+        windows = lambda found: {(p - off, p) for _, p, lo, hi in found for off in range(lo, hi + 1)}
+        assert windows(alone) == windows(among) and len({s for s, _ in windows(alone)}) == max(0, len(one) - sr.LENGTH + 1)
+
+
+def test_names_are_of_content_and_length():
+    pick = random.Random(2)
+    raw = np.frombuffer(bytes(pick.choice(b"ab") for _ in range(40_000)), np.uint8)
+    deep = sr._buckets(raw, sr.DEPTH, 0), sr._buckets(raw, sr.DEPTH, 1)
+    starts = np.array([pick.randrange(39_000) for _ in range(3000)])
+    lengths = np.array([pick.randrange(sr.DEPTH, 3 * sr.DEPTH) for _ in starts])
+    names = list(zip(*(sr._spans(deep[lane], starts, lengths, lane).tolist() for lane in (0, 1))))
+    strings = [raw[s : s + n].tobytes() for s, n in zip(starts, lengths)]
+    assert len(set(names)) == len(set(strings)) == len(set(zip(names, strings)))
+
+
 def test_repeated_ids_and_empty_table(spark):
     text = "".join(random.Random(3).choice("abcdefgh ") for _ in range(300))
     docs = spark.createDataFrame([(1, text), (1, text), (1, "other " * 9), (None, text[50:]), (2, None)], "doc_id long, text string")
