@@ -2,9 +2,9 @@
 
 A word that training has seen is scored by its log frequency in each language. An unseen
 one falls back to its n-grams (with word boundaries) of the longest length of which any
-is known, each scored likewise. The tables are fitted on a sample of ``PER_LANGUAGE``
-labelled documents a language, drawn by the hash of their ids, and keep the most frequent
-``TOP_WORDS`` words and ``TOP_GRAMS`` n-grams of each length for each language.
+is known, each scored likewise. The tables are fitted on a sample of about ``PER_LANGUAGE``
+labelled documents a language, drawn by the hash of their ids, and keep every word and
+n-gram of it.
 """
 
 from __future__ import annotations
@@ -12,24 +12,24 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from lodestone.llm._shared import table
 
 PER_LANGUAGE = 2500
-TOP_WORDS, TOP_GRAMS = 12000, 4000
 LENGTHS = (4, 3, 2, 1)
 SMOOTHING = 0.5
 #: Words beyond which more evidence no longer raises the score.
 FULL_EVIDENCE = 12
 UNDETERMINED = "und"
+#: Words whose scores a task keeps at hand.
+CACHE = 1 << 18
 WORD = regex.compile(r"\p{L}+")
 _WORDLIKE = re.compile(r"[^\W\d_]+")
 
@@ -55,30 +55,47 @@ class Tables:
     words: dict[str, int]
     grams: dict[int, dict[str, int]]
     scores: np.ndarray
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        counts = Counter(words_of(text))
-        if not counts or not self.languages:
-            return UNDETERMINED, 0.0
-        known, rows, weights = self.words.get, [], []
-        for word, times in counts.items():
-            row = known(word)
-            if row is not None:
-                rows.append(row)
-                weights.append(times)
-                continue
-            for n in LENGTHS:
-                table = self.grams[n]
-                found = [table[g] for g in grams(word, n) if g in table]
-                if found:
-                    rows += found
-                    weights += [times / len(found)] * len(found)
-                    break
-        n = sum(counts.values())
-        mean = (np.array(weights) @ self.scores[rows] if rows else np.zeros(len(self.languages))) / n * min(n, FULL_EVIDENCE)
-        best = int(np.argmax(mean))
-        odds = np.exp(np.clip(mean - mean[best], -700, 0))
-        return self.languages[best], float(1 / odds.sum())
+    cache: dict[str, np.ndarray] = field(default_factory=dict)
+
+    def word(self, word: str) -> np.ndarray:
+        """The scores of a word: its own, or the mean of its known n-grams of the longest length that has any; else zeros."""
+        row = self.words.get(word)
+        if row is not None:
+            return self.scores[row]
+        for n in LENGTHS:
+            table = self.grams[n]
+            found = [table[g] for g in grams(word, n) if g in table]
+            if found:
+                return self.scores[found].mean(axis=0)
+        return np.zeros(len(self.languages))
+
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        """The language and score of each text: the mean over its words, as much as ``FULL_EVIDENCE`` words at most count."""
+        langs, scores = [UNDETERMINED] * len(texts), np.zeros(len(texts))
+        found = [words_of(t) for t in texts]
+        full = [i for i, w in enumerate(found) if w] if self.languages else []
+        if not full:
+            return langs, scores
+        place, rows, picked = {}, [], []
+        for i in full:
+            for w in set(found[i]).difference(self.cache):
+                self.cache[w] = self.word(w)
+            for w in set(found[i]).difference(place):
+                place[w] = len(rows)
+                rows.append(self.cache[w])
+            picked.extend(map(place.__getitem__, found[i]))
+        if len(self.cache) > CACHE:
+            self.cache.clear()
+        lengths = np.array([len(found[i]) for i in full])
+        table, picked, starts = np.array(rows), np.array(picked), np.cumsum(lengths) - lengths
+        sums = np.stack([np.add.reduceat(table[:, k][picked], starts) for k in range(len(self.languages))], axis=1)
+        mean = sums * (np.minimum(lengths, FULL_EVIDENCE) / lengths)[:, None]
+        best = mean.argmax(axis=1)
+        odds = np.exp(np.clip(mean - mean.max(axis=1, keepdims=True), -700, 0))
+        scores[full] = 1 / odds.sum(axis=1)
+        for i, k in zip(full, best.tolist()):
+            langs[i] = self.languages[k]
+        return langs, scores
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,40 +135,39 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     drawn = (F.shiftrightunsigned(F.xxhash64("id"), 11) / F.lit(float(1 << 53))) < F.col("share")
     sample = usable.join(share, "lang").where(drawn & F.col("text").isNotNull()).select("lang", "text")
     counts = sample.mapInArrow(_count, "lang string, n int, term string, times long").groupBy("lang", "n", "term").agg(F.sum("times").alias("times"))
-    total = F.sum("times").over(Window.partitionBy("lang", "n"))
-    rank = F.row_number().over(Window.partitionBy("lang", "n").orderBy(F.desc("times"), "term"))
-    top = counts.select("lang", "n", "term", "times", total.alias("total"), rank.alias("rank"))
-    rows = top.where(F.col("rank") <= F.when(F.col("n") == 0, TOP_WORDS).otherwise(TOP_GRAMS)).drop("rank").toArrow().to_pylist()
-    return tables(rows)
+    got = counts.toArrow()
+    return tables(*(got.column(c).to_pylist() for c in ("lang", "n", "term", "times")))
 
 
-def tables(rows: list[dict]) -> Tables:
-    languages = sorted({r["lang"] for r in rows})
+def tables(langs: list[str], lengths: list[int], terms: list[str], times: list[int]) -> Tables:
+    """The scores of counted terms; ``lengths`` has 0 for words."""
+    languages = sorted(set(langs))
     at = {x: i for i, x in enumerate(languages)}
+    lang, kind, count = np.array([at[x] for x in langs], np.int64), np.array(lengths, np.int64), np.array(times, np.float64)
     kinds, parts, base = {}, [np.zeros((0, len(languages)))], 0
     for n in (0, *LENGTHS):
-        mine = sorted((r for r in rows if r["n"] == n), key=lambda r: (r["term"], r["lang"]))
-        place: dict[str, int] = {}
-        for r in mine:
-            place.setdefault(r["term"], len(place))
-        times = np.zeros((len(place), len(languages)))
-        total = np.full(len(languages), float(max((r["total"] for r in mine), default=1)))
-        for r in mine:
-            times[place[r["term"]], at[r["lang"]]] = r["times"]
-            total[at[r["lang"]]] = r["total"]
-        logs = np.log((times + SMOOTHING) / (total + SMOOTHING * max(1, len(place))))
+        mine = np.flatnonzero(kind == n).tolist()
+        place = {t: i for i, t in enumerate(sorted({terms[i] for i in mine}))}
+        found = np.zeros((len(place), len(languages)))
+        np.add.at(found, (np.array([place[terms[i]] for i in mine], np.int64), lang[mine]), count[mine])
+        total = found.sum(axis=0)
+        total = np.where(total > 0, total, total.max(initial=1.0))  # a language without such terms is no likelier for it
+        logs = np.log((found + SMOOTHING) / (total + SMOOTHING * max(1, len(place))))
         parts.append(logs - logs.mean(axis=1, keepdims=True) if len(place) else logs)
         kinds[n] = {term: base + i for term, i in place.items()}
         base += len(place)
     return Tables(languages, kinds[0], {n: kinds[n] for n in LENGTHS}, np.concatenate(parts))
 
 
+#: Texts that are scored at once.
+TEXTS = 256
+
+
 def _predict(shared):
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in batches:
-            found = [model.predict(x.as_py()) for x in batch.column(1)]
-            langs, scores = zip(*found) if found else ([], [])
+        for batch in (b.slice(i, TEXTS) for b in batches for i in range(0, b.num_rows, TEXTS)):
+            langs, scores = model.predict(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["id", "lang_pred", "score"])
 
     return predict
@@ -164,7 +180,7 @@ def identify(docs: DataFrame, fitted: Tables, id_col: str = "doc_id", text_col:
     for all if nothing could be learned; ties go to the language that sorts first.
     Repeated rows are judged alike, and only the text is an input.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(fitted)  # bounded by TOP_WORDS and TOP_GRAMS for each language
+    shared = docs.sparkSession.sparkContext.broadcast(fitted)  # bounded by the sample
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     found = rows.mapInArrow(_predict(shared), f"id {kind}, lang_pred string, score double")

@@ -511,17 +511,67 @@ def test_languages_on_held_out_documents(spark, sf):
     assert sum(r.lang == r.lang_pred for r in held) >= 0.97 * len(held) and all(0 <= r.score <= 1 for r in got)
 
 
+def plain_language(docs):
+    """Predictions for (id, text, lang) by definition, from one word to the next. All documents are in the sample."""
+    words = lambda t: "".join(c if c.isalpha() else " " for c in (t or "").lower()).split()
+    counts = defaultdict(lambda: defaultdict(Counter))
+    for i, text, lang in docs:
+        if i is not None and lang is not None and zlib.crc32(str(i).encode()) % 4 != 2:
+            for w in words(text):
+                counts[0][lang][w] += 1
+                for n in (4, 3, 2, 1):
+                    counts[n][lang].update(list(w) if n == 1 else [f" {w} "[k : k + n] for k in range(len(w) + 3 - n)])
+    langs = sorted(counts[0])
+    size = {n: len({t for c in counts[n].values() for t in c}) for n in counts}
+    total = {n: {x: sum(counts[n][x].values()) for x in langs} for n in counts}
+
+    def scores(n, term):
+        logs = [np.log((counts[n][x][term] + 0.5) / (total[n][x] + 0.5 * size[n])) for x in langs]
+        return np.array(logs) - np.mean(logs)
+
+    def of(w):
+        if any(w in counts[0][x] for x in langs):
+            return scores(0, w)
+        for n in (4, 3, 2, 1):
+            known = [g for g in (list(w) if n == 1 else [f" {w} "[k : k + n] for k in range(len(w) + 3 - n)]) if any(g in counts[n][x] for x in langs)]
+            if known:
+                return np.mean([scores(n, g) for g in known], axis=0)
+        return np.zeros(len(langs))
+
+    out, seen = {}, {}
+    for i, text, _ in docs:
+        found = words(text)
+        for w in set(found) - set(seen):
+            seen[w] = of(w)
+        if found:
+            mean = np.mean([seen[w] for w in found], axis=0) * min(len(found), 12)
+            out[i] = (langs[int(mean.argmax())], 1 / np.exp(mean - mean.max()).sum())
+        else:
+            out[i] = ("und", 0.0)
+    return out
+
+
+def test_languages_by_brute_force(spark, sf):
+    docs = read(spark, sf, "documents")
+    expected = plain_language([(r.doc_id, r.text, r.lang) for r in docs.collect()])
+    got = {r.doc_id: (r.lang_pred, r.score) for r in QUERIES["op9_language_id"](spark, sf).collect()}
+    assert {i: x[0] for i, x in got.items()} == {i: x[0] for i, x in expected.items()}
+    assert all(got[i][1] == pytest.approx(expected[i][1], abs=1e-6) for i in expected)
+
+
 def test_backoff_to_shorter_ngrams():
-    counted = [{"lang": x, "n": n, "term": t, "times": 5, "total": 50} for x, n, t in [("a", 0, "word"), ("b", 0, "wort"), ("a", 3, "ing"), ("b", 2, "ch"), ("b", 1, "ß")]]
-    fitted = language.tables(counted)
-    assert [fitted.predict(t)[0] for t in ("word", "WORT", "zinging", "zzch", "ß")] == ["a", "b", "a", "b", "b"]
-    assert fitted.predict("qqq") == ("a", 0.5)  # nothing known: the first language, at even odds
+    counted = [("a", 0, "word"), ("b", 0, "wort"), ("a", 3, "ing"), ("b", 2, "ch"), ("b", 1, "ß")]
+    fitted = language.tables(*map(list, zip(*counted)), [5] * len(counted))
+    assert fitted.predict(["word", "WORT", "zinging", "zzch", "ß", None, "1"])[0] == ["a", "b", "a", "b", "b", "und", "und"]
+    langs, scores = fitted.predict(["qqq"])
+    assert (langs, scores.tolist()) == (["a"], [0.5])  # nothing known: the first language, at even odds
 
 
 def test_language_edges(spark):
     docs = spark.createDataFrame(rows("hello world", None, "", "123 ½ Ⅷ ...", LONG, "hello"), DOCS)
     got = {r.doc_id: r.lang_pred for r in language.identify(docs, language.train(docs)).collect()}
     assert [got[i] for i in range(6)] == ["en", "und", "und", "und", "en", "en"] and got[None] == "en"
+    assert language.identify(docs.limit(0), language.train(docs)).count() == 0
     none = language.identify(docs, language.train(docs.limit(0))).collect()
     assert len(none) == 8 and {(r.lang_pred, r.score) for r in none} == {("und", 0.0)}
 
