@@ -4,7 +4,10 @@ A text is the set of its lower-cased terms, hashed to ``BUCKETS``. Besides a wei
 bucket has ``FACTORS`` factors, whose products weigh pairs of terms. The machine is fitted
 on the driver over a sample bounded by ``MAX_POSITIVE`` and ``MAX_NEGATIVE`` labelled
 documents, drawn by the hash of their ids. Every document of the sample counts; near
-copies of one label share the weight of one. All documents are scored where they lie.
+copies of one label share the weight of one. Scores of documents that a machine hasn't seen
+are closer to even odds than the labels warrant, so each of ``FOLDS`` parts of the sample is scored by
+a machine fitted on the others, and a slope and a shift are fitted to these scores. All documents
+are scored where they lie.
 """
 
 from __future__ import annotations
@@ -27,15 +30,17 @@ from lodestone.llm._shared import fresh
 BUCKETS = 1 << 20
 FACTORS = 4
 MAX_POSITIVE, MAX_NEGATIVE = 3000, 12000
-#: Documents of the sample that a bucket must occur in.
-MIN_DOCS = 8
+#: Documents of the sample (near copies sharing one weight) that a bucket must occur in: in fewer, nothing general is learned.
+MIN_DOCS = 4
 #: Slack of sums of weights against rounding.
 SLACK = 1e-6
 #: Jaccard similarity of the bucket sets of near copies.
 COPY = 0.8
-EPOCHS, BATCH, RATE, L1, L2 = 30, 256, 0.5, 5e-4, 1e-4
-#: Steps at least, for small samples.
-LEAST_STEPS = 300
+BATCH, RATE, L1, L2 = 256, 0.5, 3e-4, 1e-4
+#: Steps of descent, each over ``BATCH`` documents, rounded up to whole passes.
+STEPS = 600
+#: Parts of the sample that calibration fits and scores by turns.
+FOLDS = 2
 THRESHOLD = 0.7
 TERM = re.compile(r"\w+")
 _CACHE_TERMS = 1 << 19
@@ -47,6 +52,8 @@ class Machine:
     weights: np.ndarray  # of the kept buckets
     factors: np.ndarray
     place: dict[int, int]  # bucket: row of weights and factors
+    slope: float = 1.0
+    shift: float = 0.0
 
     def raw(self, rows: list[int]) -> float:
         if not rows:
@@ -56,7 +63,7 @@ class Machine:
         return float(self.bias + self.weights[rows].sum() + 0.5 * (total @ total - (v * v).sum()))
 
     def score(self, rows: list[int]) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.raw(sorted(rows)), -30, 30))))
+        return float(1 / (1 + np.exp(-np.clip(self.slope * self.raw(sorted(rows)) + self.shift, -30, 30))))
 
 
 def terms(text: str | None) -> set[str]:
@@ -111,13 +118,44 @@ def witness_weights(labels: np.ndarray, features: list[np.ndarray]) -> np.ndarra
 
 
 def fit(labels: np.ndarray, features: list[np.ndarray], seed: int = 7) -> Machine:
+    """A calibrated machine; without labels of both kinds it scores every text by their share."""
+    weight = witness_weights(labels, features)
+    machine = _descend(labels, features, weight, seed)
+    fold = np.arange(len(labels)) % FOLDS
+    parts = [fold != k for k in range(FOLDS)]
+    if any(len(np.unique(labels[p])) < 2 for p in parts) or not machine.place:
+        return machine
+    raw = np.zeros(len(labels))
+    for part in parts:
+        other = _descend(labels[part], [x for x, p in zip(features, part) if p], weight[part], seed)
+        for i in np.flatnonzero(~part):
+            raw[i] = other.raw([other.place[b] for b in features[i].tolist() if b in other.place])
+    machine.slope, machine.shift = calibration(raw, labels, weight)
+    return machine
+
+
+def calibration(raw: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """Slope and shift of raw scores that make them log odds of the label, by Newton's method on smoothed labels; 1 and 0 if scores don't rise with it."""
+    ones, zeros = weight[labels == 1].sum(), weight[labels != 1].sum()
+    wanted = np.where(labels == 1, (ones + 1) / (ones + 2), 1 / (zeros + 2))
+    columns, found = np.stack([raw, np.ones(len(raw))], axis=1), np.array([1.0, 0.0])
+    for _ in range(100):
+        chance = 1 / (1 + np.exp(-np.clip(columns @ found, -30, 30)))
+        bend = (columns * (weight * chance * (1 - chance))[:, None]).T @ columns + 1e-6 * np.eye(2)
+        step = np.linalg.solve(bend, columns.T @ (weight * (chance - wanted)))
+        found = found - step
+        if np.abs(step).max() < 1e-8:
+            break
+    return (float(found[0]), float(found[1])) if np.isfinite(found).all() and found[0] > 0 else (1.0, 0.0)
+
+
+def _descend(labels: np.ndarray, features: list[np.ndarray], weight: np.ndarray, seed: int) -> Machine:
     """Adaptive-gradient descent on the log loss; weights and factors shrink to zero unless the labels bear them out."""
     prior = float(np.clip(labels.mean() if len(labels) else 0.5, 1e-3, 1 - 1e-3))
     empty = Machine(float(np.log(prior / (1 - prior))), np.zeros(0), np.zeros((0, FACTORS)), {})
     if not len(labels) or labels.min() == labels.max():
         return empty
     flat, sizes = np.concatenate(features) if features else np.zeros(0, np.int64), np.array([len(x) for x in features])
-    weight = witness_weights(labels, features)
     found, at = np.unique(flat, return_inverse=True)
     counts = np.bincount(at, np.repeat(weight, sizes), len(found)) + SLACK
     kept = found[counts >= MIN_DOCS]
@@ -133,7 +171,7 @@ def fit(labels: np.ndarray, features: list[np.ndarray], seed: int = 7) -> Machin
     n = len(kept)
     b, w, v = empty.bias, np.zeros(n), rng.normal(0, 0.05, (n, FACTORS))
     gw, gv = np.full(n, 1e-3), np.full((n, FACTORS), 1e-3)
-    for _ in range(max(EPOCHS, LEAST_STEPS * BATCH // len(rows))):
+    for _ in range(-(-STEPS // -(-len(rows) // BATCH))):
         order = rng.permutation(len(rows))
         for at in range(0, len(order), BATCH):
             part = order[at : at + BATCH]
@@ -224,7 +262,12 @@ def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def reject(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
-    """``docs`` without those predicted toxic, all columns unchanged."""
+    """``docs`` without those predicted toxic, all columns unchanged.
+
+    A row goes by its own text alone, so repeated rows stay or go together; null and empty
+    texts get the machine's bias, and without labels of both kinds the share of the toxic ones decides
+    for all rows alike. An empty table stays empty.
+    """
     machine = train(docs, labels, id_col, text_col, label_col)
     name = fresh(docs, "toxicity")
     return score(docs, machine, text_col, name=name).where(F.col(name) < THRESHOLD).drop(name)

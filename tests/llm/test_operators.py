@@ -5,6 +5,7 @@ import hashlib
 import random
 import zlib
 from collections import Counter, defaultdict
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -213,6 +214,27 @@ def test_pairs_of_terms_are_learned():
     assert score(1, 2) > 0.9 and max(score(1), score(2), score()) < toxicity.THRESHOLD
 
 
+def test_toxicity_on_the_labelled_table(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = read(spark, sf, "documents"), read(spark, sf, "labels")
+    machine = toxicity.train(docs, labels)
+    held = docs.where(toxicity.held_out(F.col("doc_id"))).join(labels.where("toxic is not null").select("doc_id", "toxic"), "doc_id").select("toxic", "text")
+    recall, share = {}, {}
+    for name, one in (("pairs", machine), ("none", replace(machine, factors=machine.factors * 0))):
+        got = toxicity.score(held, one).select("toxic", "score").toPandas()
+        recall[name], share[name] = (float((got.score[got.toxic == y] >= toxicity.THRESHOLD).mean()) for y in (1, 0))
+    assert recall["pairs"] >= 0.75 and share["pairs"] <= 0.01 and recall["pairs"] >= recall["none"] + 0.1
+
+
+def test_scores_sum_all_pairs():
+    pick = np.random.default_rng(4)
+    machine = toxicity.Machine(0.3, pick.normal(size=30), pick.normal(size=(30, toxicity.FACTORS)), {i: i for i in range(30)}, 1.7, -0.2)
+    for n in (0, 1, 2, 9):
+        rows = pick.choice(30, n, replace=False).tolist()
+        raw = 0.3 + sum(machine.weights[i] for i in rows) + sum(machine.factors[i] @ machine.factors[j] for i in rows for j in rows if i < j)
+        assert machine.score(rows) == pytest.approx(1 / (1 + np.exp(-(1.7 * raw - 0.2))))
+
+
 def test_rows_that_share_one_rare_term_all_count():
     pick = np.random.default_rng(2)
     labels = np.array([0] * 540 + [1] * 60)
