@@ -1,16 +1,24 @@
 """Embedding near-duplicates by sorted projection passes.
 
 Each pass hashes a vector to the signs of ``BITS`` random projections and orders all
-vectors lexicographically by them; a vector is compared with the ``NEIGHBOURS`` that
-follow it. Passes are rows of one sorted table, so a range partition holds what must meet
-however many vectors share a hash. Verified links are joined across passes into
-components. Within a component links are then counted on all its vectors: one whose
-members all lie within half the angle of its pivot links each with every other, which
-needs no pair; what remains is verified in square blocks, counts only.
+vectors lexicographically by them; a vector is compared with its neighbours in a bounded window.
+Passes are rows of one sorted table, so a range partition holds what must meet however many vectors
+share a hash. Equal vectors are one before any pass.
+
+The first pass carries vectors, so that dense groups are linked where they lie. The others
+carry a sketch of ``SKETCH`` more signs: what is near by both and not linked yet is verified in double
+precision. There are as many passes as a pair at the threshold, alone among others, needs to meet with a
+probability of ``RECALL``: see ``passes``. Verified links are joined across passes into components.
+
+Within a component links are then counted on all its vectors: one whose members all lie
+within half the angle of its pivot links each with every other, which needs no pair; of the
+others, members whose angles to the pivot differ by more than the threshold's can't be
+linked, and what remains is verified in square blocks, counts only.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,71 +26,114 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lodestone.llm._shared import cut, fresh, ranked, table
+from lodestone.llm._shared import cut, ranked, table
 from lodestone.llm.components import connected_components
 
 THRESHOLD = 0.9
-PASSES = 24
+RECALL = 0.99
 BITS = 60
-NEIGHBOURS = 48
-#: Ranks in a block of neighbours; the next ``NEIGHBOURS`` rows are lent to it.
+SKETCH = 128
+#: Followers in the order of a pass that a vector is compared with: by vectors, by sketches.
+NEIGHBOURS, WINDOW = 48, 256
+#: Ranks in a block of neighbours; the rows of a window are lent to it.
 BLOCK = 2048
 #: Vectors to a side of the squares in which wide components are verified.
 SQUARE = 512
+#: Candidates that a block names first of those between two components; the rest follow if the components stay apart.
+FIRST = 4
 SEED = 5
 #: Slack of angle comparisons against rounding.
 SLACK = 1e-9
+ANGLE = math.acos(THRESHOLD)
+#: Chance that one sign of a pair at the threshold differs.
+_DIFFER = ANGLE / math.pi
+#: Signs, of all that a row carries, that may differ: a pair at the threshold has more once in 100,000 times.
+DISTANCE = math.floor((BITS + SKETCH) * _DIFFER + 4.4 * math.sqrt((BITS + SKETCH) * _DIFFER * (1 - _DIFFER)))
 
 
-def unit(vectors: list) -> np.ndarray:
+def passes(n: int, recall: float = RECALL) -> int:
+    """Passes after which two of ``n`` vectors at the threshold, the others lying at random, have met with a chance of ``recall``.
+
+    They meet in a pass if they agree in the signs that tell windows apart, and one more: 12 passes for 10,000
+    vectors, 18 for 50 thousand, 40 for 2 million, 60 for 10 million, 160 for a billion.
+    """
+    signs = math.log2(max(1.0, n / WINDOW)) + 1
+    return max(2, math.ceil(math.log(1 - recall) / math.log(1 - (1 - _DIFFER) ** signs)))
+
+
+def unit(vectors) -> np.ndarray:
     """Rows of length one in double precision; all must be finite, of one length and not zero."""
     found = np.array(vectors, dtype=np.float64)
     found = found / np.abs(found).max(axis=1, keepdims=True)
     return found / np.linalg.norm(found, axis=1, keepdims=True)
 
 
-def usable(vector) -> bool:
-    if vector is None or not len(vector) or any(x is None for x in vector):
-        return False
-    row = np.asarray(vector, dtype=np.float64)
-    return bool(np.isfinite(row).all() and row.any())
+def _rows(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places and unit vectors of a column of arrays, by length."""
+    widths = np.diff(column.offsets.to_numpy())
+    flat, starts = column.values.to_numpy().astype(np.float64), column.offsets.to_numpy()[:-1]
+    for width in np.unique(widths).tolist():
+        for at in np.array_split(np.flatnonzero(widths == width), max(1, len(widths) // 1024)):
+            if len(at):
+                yield at, unit(flat[starts[at][:, None] + np.arange(width)])
+
 
+def projections(width: int, first: int, n: int) -> np.ndarray:
+    """``width`` by ``n`` random directions, of set number ``first``; the same everywhere."""
+    return np.random.default_rng([SEED, width, first]).standard_normal((width, n))
 
-def projections(width: int) -> np.ndarray:
-    """``width`` by ``PASSES * BITS`` random directions, the same everywhere."""
-    return np.random.default_rng(SEED + width).standard_normal((width, PASSES * BITS))
 
+_POWERS = (1 << np.arange(63, -1, -1, dtype=np.uint64)).astype(np.uint64)
 
-def _hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    powers, planes = (1 << np.arange(BITS - 1, -1, -1)).astype(np.int64), {}
+
+def _bits(rows: np.ndarray, width: int, number: int, n: int, held: dict) -> np.ndarray:
+    """``n`` signs of each row as a long."""
+    if (width, number) not in held:
+        held[width, number] = projections(width, number, n)
+    return ((rows @ held[width, number] > 0) * _POWERS[64 - n :]).sum(axis=1, dtype=np.uint64).view(np.int64)
+
+
+def _hash_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``node, kind, key, vector`` of the first pass; the kind is the length."""
+    held: dict = {}
     for batch in batches:
-        ids, rows = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for width in sorted({len(r) for r in rows}):
-            at = [i for i, r in enumerate(rows) if len(r) == width]
-            mine = planes.setdefault(width, projections(width))
-            for start in range(0, len(at), 1024):
-                part = at[start : start + 1024]
-                signs = (unit([rows[i] for i in part]) @ mine > 0).reshape(len(part), PASSES, BITS)
-                keys = (signs * powers).sum(axis=2)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.repeat([ids[i] for i in part], PASSES), pa.int64()),
-                        pa.array(np.full(len(part) * PASSES, width), pa.int32()),
-                        pa.array(np.tile(np.arange(PASSES), len(part)), pa.int32()),
-                        pa.array(keys.ravel(), pa.int64()),
-                        pa.array([rows[i] for i in part for _ in range(PASSES)], pa.list_(pa.float64())),
-                    ],
-                    ["id", "width", "pass", "key", "vector"],
-                )
+        for at, rows in _rows(batch.column(1)):
+            width, of = rows.shape[1], pa.array(at)
+            columns = [batch.column(0).take(of), pa.array(np.full(len(at), width, np.int64)), pa.array(_bits(rows, width, 0, BITS, held)), batch.column(1).take(of)]
+            yield pa.RecordBatch.from_arrays(columns, ["node", "kind", "key", "vector"])
+
+
+def _hash_rest(n: int):
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """``node, kind, key, s1, s2, label`` of each further pass; the kind is the length and the pass."""
+        held: dict = {}
+        for batch in batches:
+            for at, rows in _rows(batch.column(1)):
+                width, of = rows.shape[1], pa.array(at)
+                sketch = [pa.array(_bits(rows, width, -k % (1 << 32), 64, held)) for k in (1, 2)]
+                for number in range(1, n):
+                    kind = pa.array(np.full(len(at), (width << 16) | number, np.int64))
+                    columns = [batch.column(0).take(of), kind, pa.array(_bits(rows, width, number, BITS, held)), *sketch, batch.column(2).take(of)]
+                    yield pa.RecordBatch.from_arrays(columns, ["node", "kind", "key", "s1", "s2", "label"])
+
+    return hashed
+
+
+def _blocks(hashed: DataFrame, window: int) -> DataFrame:
+    """Rows in the order of their passes, in blocks; the first rows of each are lent to the one before."""
+    placed = ranked(hashed, [F.col(c) for c in ("kind", "key", "node")], "place")
+    block = F.floor(F.col("place") / BLOCK)
+    lent = F.when((F.col("place") % BLOCK < window) & (block > 0), F.array(block, block - 1)).otherwise(F.array(block))
+    return placed.withColumn("own", block).withColumn("block", F.explode(lent)).withColumn("lent", F.col("block") != F.col("own")).drop("own")
 
 
 def _neighbours(group: pd.DataFrame) -> pd.DataFrame:
     """Spanning links of each run of neighbours: enough for components, fewer than twice the rows."""
     group = group.sort_values("place")
-    ids, own = group["id"].to_numpy(), ~group["lent"].to_numpy()
-    kind = (group["width"].to_numpy().astype(np.int64) << 8) | group["pass"].to_numpy()
-    vectors = [np.asarray(v) for v in group["vector"]]
+    ids, own, kind = group["node"].to_numpy(), ~group["lent"].to_numpy(), group["kind"].to_numpy()
+    vectors = group["vector"].to_numpy()
     root = np.arange(len(ids))
     a, b = [], []
 
@@ -94,88 +145,161 @@ def _neighbours(group: pd.DataFrame) -> pd.DataFrame:
 
     for k in np.unique(kind):
         at = np.flatnonzero(kind == k)
-        rows = unit([vectors[i] for i in at])
+        rows = unit(np.stack(vectors[at]))
         for gap in range(1, min(NEIGHBOURS, len(at) - 1) + 1):
             near = np.flatnonzero((rows[:-gap] * rows[gap:]).sum(axis=1) >= THRESHOLD)
             for i in near[own[at[near]]]:
                 x, y = find(at[i]), find(at[i + gap])
-                if x != y and ids[at[i]] != ids[at[i + gap]]:
+                if x != y:
                     root[y] = x
                     a.append(ids[at[i]])
                     b.append(ids[at[i + gap]])
     return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
 
-def links(vectors: DataFrame) -> DataFrame:
-    """``a, b``: verified links between rows of ``id, vector`` that connect all links found in any pass."""
-    hashed = vectors.mapInArrow(_hash, "id long, width int, pass int, key long, vector array<double>")
-    names = ["width", "pass", "key", "id"]
-    placed = ranked(hashed, [F.col(c) for c in names], "place", names)
-    block = F.floor(F.col("place") / BLOCK)
-    lent = F.when((F.col("place") % BLOCK < NEIGHBOURS) & (block > 0), F.array(block, block - 1)).otherwise(F.array(block))
-    dealt = placed.withColumn("own", block).withColumn("block", F.explode(lent)).withColumn("lent", F.col("block") != F.col("own"))
-    dealt = dealt.select("block", "id", "width", "pass", "place", "vector", "lent")
-    return dealt.groupBy("block").applyInPandas(_neighbours, "a long, b long")
+def _candidates(first: int | None):
+    def candidates(group: pd.DataFrame) -> pd.DataFrame:
+        """Pairs that the signs make likely and no label joins; of each two labels the ``first`` nearest, and a row of nulls if there are more."""
+        group = group.sort_values("place")
+        nodes, own, kind = group["node"].to_numpy(), ~group["lent"].to_numpy(), group["kind"].to_numpy()
+        label = group["label"].to_numpy()
+        signs = [group[c].to_numpy().view(np.uint64) for c in ("key", "s1", "s2")]
+        x, y, apart = [], [], []
+        for gap in range(1, min(WINDOW, len(nodes) - 1) + 1):
+            far = sum(np.bitwise_count(c[:-gap] ^ c[gap:]).astype(np.int16) for c in signs)
+            at = np.flatnonzero((far <= DISTANCE) & (kind[:-gap] == kind[gap:]) & (label[:-gap] != label[gap:]) & own[:-gap])
+            x.append(at)
+            y.append(at + gap)
+            apart.append(far[at])
+        x, y, apart = (np.concatenate([np.zeros(0, np.int64), *c]).astype(np.int64) for c in (x, y, apart))
+        low, high = np.minimum(label[x], label[y]), np.maximum(label[x], label[y])
+        order = np.lexsort((apart, high, low))
+        x, y, low, high = x[order], y[order], low[order], high[order]
+        new = np.flatnonzero(np.concatenate(([True], (low[1:] != low[:-1]) | (high[1:] != high[:-1])))) if len(x) else np.zeros(0, np.int64)
+        rank = np.arange(len(x)) - np.repeat(new, np.diff(np.append(new, len(x))))
+        kept = rank < first if first else np.ones(len(x), bool)
+        a, b = np.minimum(nodes[x[kept]], nodes[y[kept]]), np.maximum(nodes[x[kept]], nodes[y[kept]])
+        found = pd.DataFrame({"a": pd.array(a, "Int64"), "b": pd.array(b, "Int64")})
+        return found if kept.all() else pd.concat([found, pd.DataFrame({"a": pd.array([None], "Int64"), "b": pd.array([None], "Int64")})])
+
+    return candidates
+
+
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        near = np.zeros(batch.num_rows, bool)
+        for at, left in _rows(batch.column(2)):
+            of = pa.array(at)
+            for some, right in _rows(batch.column(3).take(of)):
+                near[at[some]] = (left[some] * right).sum(axis=1) >= THRESHOLD
+        kept = batch.filter(pa.array(near))
+        yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], ["a", "b"])
+
+
+def components(vectors: DataFrame, recall: float = RECALL) -> DataFrame:
+    """``node, component`` of the linked rows of ``node, vector`` (distinct vectors, none zero), ``component`` being the smallest node."""
+    n = vectors.count()
+    kind = vectors.schema["vector"].dataType.simpleString()
+    hashed = vectors.mapInArrow(_hash_first, f"node long, kind long, key long, vector {kind}")
+    links = table(_blocks(hashed, NEIGHBOURS).groupBy("block").applyInPandas(_neighbours, "a long, b long"), "near")
+    left, right = (vectors.select(F.col("node").alias(k), F.col("vector").alias(v)) for k, v in (("a", "va"), ("b", "vb")))
+
+    def labelled(of: DataFrame, links: DataFrame) -> DataFrame:
+        found = table(connected_components(links), "labels").withColumnRenamed("node", "of")
+        return of.drop("label").join(found, F.col("node") == F.col("of"), "left").withColumn("label", F.coalesce("component", "node")).drop("of", "component")
+
+    def verified(blocks: DataFrame, first: int | None) -> tuple[DataFrame, bool]:
+        pairs = table(blocks.groupBy("block").applyInPandas(_candidates(first), "a long, b long").distinct(), "candidates")
+        both = pairs.where("a is not null").join(left, "a").join(right, "b").select("a", "b", "va", "vb")
+        return table(both.mapInArrow(_verify, "a long, b long"), "verified"), not pairs.where("a is null").isEmpty()
+
+    rest = labelled(vectors, links).select("node", "vector", "label")
+    rest = rest.mapInArrow(_hash_rest(passes(n, recall)), "node long, kind long, key long, s1 long, s2 long, label long")
+    blocks = _blocks(rest, WINDOW)
+    found, more = verified(blocks, FIRST)
+    links = links.union(found)
+    if more:
+        links = links.union(verified(labelled(blocks, links), None)[0])
+    return connected_components(links)
 
 
 def _angles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-        cosines = [float(unit([v])[0] @ unit([p])[0]) for v, p in zip(*rows)]
-        angles = np.arccos(np.clip(cosines, -1, 1))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(angles, pa.float64())], ["id", "component", "angle"])
+        angle = np.zeros(batch.num_rows)
+        for at, rows in _rows(batch.column(4)):  # of one length within a component
+            of = pa.array(at)
+            for some, pivots in _rows(batch.column(5).take(of)):
+                angle[at[some]] = np.arccos(np.clip((rows[some] * pivots).sum(axis=1), -1, 1))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(angle)], [*batch.schema.names[:5], "angle"])
 
 
 def _square(group: pd.DataFrame) -> pd.DataFrame:
-    """Links of the rows of one side with those of the other, counted for each row of the first."""
+    """Links of the rows of one side with those of the other, counted for each row of the first, copies and all."""
     left, right = group[group["side"] == 0], group[group["side"] == 1]
     if left.empty or right.empty:
-        return pd.DataFrame({"id": np.zeros(0, np.int64), "n": np.zeros(0, np.int64)})
-    near = unit([np.asarray(v) for v in left["vector"]]) @ unit([np.asarray(v) for v in right["vector"]]).T >= THRESHOLD
-    near &= left["id"].to_numpy()[:, None] != right["id"].to_numpy()[None, :]
-    return pd.DataFrame({"id": left["id"].to_numpy(), "n": near.sum(axis=1).astype(np.int64)})
+        return pd.DataFrame({"node": np.zeros(0, np.int64), "n": np.zeros(0, np.int64)})
+    near = unit(np.stack(left["vector"])) @ unit(np.stack(right["vector"])).T >= THRESHOLD
+    near &= left["node"].to_numpy()[:, None] != right["node"].to_numpy()[None, :]
+    return pd.DataFrame({"node": left["node"].to_numpy(), "n": near.astype(np.int64) @ right["n"].to_numpy(np.int64)})
 
 
 def link_counts(vectors: DataFrame, components: DataFrame) -> DataFrame:
-    """``id, n_links`` of all members of ``components`` (``node, component``), exact within each component."""
-    members = table(vectors.join(components, F.col("id") == F.col("node")).select("id", "component", "vector"), "members")
-    pivots = members.where("id = component").select(F.col("component").alias("of"), F.col("vector").alias("pivot"))
-    placed = members.join(pivots, F.col("component") == F.col("of")).select("id", "component", "vector", "pivot")
-    angles = placed.mapInArrow(_angles, "id long, component long, angle double")
-    wide = angles.groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.max("angle").alias("radius"))
-    tight = F.col("radius") * 2 <= float(np.arccos(THRESHOLD)) - SLACK
-    wide = table(wide.withColumn("tight", tight), "radii").withColumnRenamed("component", "of")
-    joined = members.join(wide, F.col("component") == F.col("of"))
-    sure = joined.where("tight").select("id", (F.col("size") - 1).alias("n_links"))
-    parts = F.greatest(F.ceil(F.col("size") / SQUARE), F.lit(1))
-    rest = joined.where("not tight").withColumn("parts", parts).withColumn("mine", F.pmod(F.xxhash64("id"), F.col("parts")))
-    across = F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)
-    left = rest.withColumn("other", F.explode(across)).select("component", F.col("mine").alias("row"), F.col("other").alias("col"), F.lit(0).alias("side"), "id", "vector")
-    right = rest.withColumn("other", F.explode(across)).select("component", F.col("other").alias("row"), F.col("mine").alias("col"), F.lit(1).alias("side"), "id", "vector")
-    counted = left.union(right).groupBy("component", "row", "col").applyInPandas(_square, "id long, n long")
-    return sure.union(counted.groupBy("id").agg(F.sum("n").alias("n_links")))
-
-
-def near_duplicates(frame: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """``node, others`` of all members of ``components``: rows of ``vectors`` (``node, n, least, vector``) linked to a node
+    that are of other nodes, ``n`` for each, exact within each component."""
+    found = components.withColumnRenamed("node", "of")
+    members = table(vectors.join(found, F.col("node") == F.col("of")).select("node", "n", "least", "component", "vector"), "members")
+    pivots = table(members.where("node = component").select(F.col("component").alias("of"), F.col("vector").alias("pivot")), "pivots")
+    placed = members.join(pivots, F.col("component") == F.col("of")).select("node", "n", "least", "component", "vector", "pivot")
+    kind = vectors.schema["vector"].dataType.simpleString()
+    placed = table(placed.mapInArrow(_angles, f"node long, n long, least long, component long, vector {kind}, angle double"), "angles")
+    wide = placed.groupBy("component").agg(F.sum("n").alias("rows"), (F.max("angle") * 2 <= ANGLE - SLACK).alias("tight"))
+    wide = table(wide, "radii").withColumnRenamed("component", "of")
+    joined = placed.join(wide, F.col("component") == F.col("of"))
+    sure = joined.where("tight").select("node", (F.col("rows") - F.col("n")).alias("others"))
+    rest = joined.where("not tight").withColumn("bin", F.floor(F.col("angle") / (ANGLE + SLACK)))
+    rest = table(rest.select("node", "n", "component", "bin", "vector"), "wide")
+    cells = rest.groupBy("component", "bin").agg(F.ceil(F.count(F.lit(1)) / SQUARE).alias("parts"))
+    cells = table(cells, "cells")
+    rest = rest.join(cells, ["component", "bin"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts"))).drop("parts")
+    across = rest.withColumn("bin2", F.explode(F.sequence(F.col("bin") - 1, F.col("bin") + 1)))
+    cells = cells.withColumnRenamed("bin", "bin2")
+    across = across.join(cells, ["component", "bin2"]).withColumn("part2", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    mine, other = F.struct("bin", "part"), F.struct(F.col("bin2").alias("bin"), F.col("part2").alias("part"))
+    left = across.select("component", mine.alias("row"), other.alias("col"), F.lit(0).alias("side"), "node", "n", "vector")
+    right = across.select("component", other.alias("row"), mine.alias("col"), F.lit(1).alias("side"), "node", "n", "vector")
+    counted = left.union(right).groupBy("component", "row", "col").applyInPandas(_square, "node long, n long")
+    return sure.union(counted.groupBy("node").agg(F.sum("n").alias("others")))
+
+
+def near_duplicates(frame: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", recall: float = RECALL) -> DataFrame:
     """One row per input row: ``id_col, n_links, component_id, kept``.
 
     Vectors that are null, empty, zero or hold null or non-finite numbers link with
     nothing; vectors of different lengths never link. ``component_id`` is the smallest id
-    reachable, ``n_links`` how many other vectors of the component lie within the
-    threshold, ``kept`` whether the row is its component's smallest id. Rows that repeat
-    an id are one vector (the smallest of theirs), and null ids link with nothing and are kept.
+    reachable, ``n_links`` how many other rows of the component lie within the
+    threshold, ``kept`` whether the row has its component's smallest id. Rows that repeat
+    an id are rows of their own. Null ids take part; they never are a ``component_id``, which is null where there
+    is no other. An empty table gives no rows.
     """
-    array = F.col(vector_col).cast("array<double>")
+    kind = frame.schema[vector_col].dataType
+    single = isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType)
+    array = F.col(vector_col).cast("array<float>" if single else "array<double>")
     finite = F.forall(array, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    good = F.col(id_col).isNotNull() & array.isNotNull() & (F.size(array) > 0) & finite & F.exists(array, lambda x: x != 0)
-    vectors = table(frame.where(good).select(F.col(id_col).cast("long").alias("id"), array.alias("vector")).groupBy("id").agg(F.min("vector").alias("vector")), "vectors")
-    components = cut(connected_components(links(vectors)))
-    counts = link_counts(vectors, components).withColumnRenamed("id", "counted")
-    labels = components.join(counts, F.col("node") == F.col("counted")).select("node", "component", "n_links")
-    key = fresh(frame, "node")
-    found = frame.select(F.col(id_col)).join(labels.withColumnRenamed("node", key), F.col(id_col).cast("long") == F.col(key), "left")
-    component = F.coalesce(F.col("component"), F.col(id_col).cast("long"))
-    return found.select(F.col(id_col), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"), F.col(id_col).cast("long").eqNullSafe(component).alias("kept"))
+    good = array.isNotNull() & (F.size(array) > 0) & finite & F.exists(array, lambda x: x != 0)
+    key = F.when(good, F.struct(F.xxhash64(array).alias("h1"), F.xxhash64(F.lit(1), array).alias("h2")))
+    rows = frame.select(F.col(id_col).cast("long").alias("id"), key.alias("key"), F.when(good, array).alias("vector"))
+    classes = rows.where("key is not null").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"), F.first("vector").alias("vector"))
+    classes = table(classes.withColumn("node", F.monotonically_increasing_id()), "vectors")  # the numbers are those written
+    found = cut(components(classes.select("node", "vector"), recall))
+    counts = link_counts(classes, found).withColumnRenamed("node", "counted")
+    named = classes.select("node", "key", "n", "least").join(found.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left")
+    named = named.join(counts, F.col("node") == F.col("counted"), "left").withColumn("component", F.coalesce("component", "node"))
+    named = table(named.select("key", "component", "least", (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links")), "named")
+    least = table(named.groupBy("component").agg(F.min("least").alias("component_id")), "least")
+    named = table(named.join(least, "component").select(F.col("key").alias("of"), "n_links", "component_id"), "classes")
+    linked = rows.select("id", "key").join(named, F.col("key") == F.col("of"), "left")
+    component = F.when(F.col("of").isNull(), F.col("id")).otherwise(F.col("component_id"))
+    return linked.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
 
 SQL = """
