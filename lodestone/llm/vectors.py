@@ -56,8 +56,8 @@ DISTANCE = math.floor((BITS + SKETCH) * _DIFFER + 4.4 * math.sqrt((BITS + SKETCH
 def passes(n: int, recall: float = RECALL) -> int:
     """Passes after which two of ``n`` vectors at the threshold, the others lying at random, have met with a chance of ``recall``.
 
-    They meet in a pass if they agree in the signs that tell windows apart, and one more: 12 passes for 10,000
-    vectors, 18 for 50 thousand, 40 for 2 million, 60 for 10 million, 160 for a billion.
+    They meet in a pass if they agree in the signs that tell windows apart, and one more: 10 passes for 10,000
+    vectors, 16 for 50 thousand, 38 for 2 million, 55 for 10 million, 158 for a billion.
     """
     signs = math.log2(max(1.0, n / WINDOW)) + 1
     return max(2, math.ceil(math.log(1 - recall) / math.log(1 - (1 - _DIFFER) ** signs)))

@@ -20,7 +20,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm._shared import scratch, table
+from lodestone.llm._shared import qualified, scratch, table
 
 CHUNK = 1 << 16
 #: Compressed bytes after which a writer starts its next archive.
@@ -40,11 +40,16 @@ def pieces(data: memoryview) -> Iterator[memoryview]:
         yield data[at : at + CHUNK]
 
 
+def open_files(folder: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a folder, given with its scheme, and the path within it."""
+    return fs.FileSystem.from_uri(folder)
+
+
 class Archive:
     """One gzip member a record, as readers of the format expect."""
 
     def __init__(self, folder: str) -> None:
-        self.files, self.folder = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+        self.files, self.folder = open_files(folder)
         self.files.create_dir(self.folder, recursive=True)
         self.name = f"part-{uuid.uuid4().hex}.warc.gz"
         self.stream = self.files.open_output_stream(f"{self.folder}/_{self.name}", compression=None)
@@ -162,7 +167,6 @@ def records(stream) -> Iterator[tuple[dict, dict, Iterator[bytes]]]:
     while (head := source.header()) is not None:
         if not head[""].startswith("WARC/"):
             raise ValueError(f"no record starts with {head['']!r}")
-        before = source.at
         http, length = {}, int(head["content-length"])
         if head.get("content-type", "").startswith("application/http"):
             size = 0
@@ -173,7 +177,6 @@ def records(stream) -> Iterator[tuple[dict, dict, Iterator[bytes]]]:
                 key, _, value = line.decode("latin-1").partition(":")
                 http[key.strip().lower()] = value.strip()
             length -= size
-        del before
 
         def payload(left: int = length) -> Iterator[bytes]:
             while left:
@@ -198,7 +201,7 @@ def _reader(folder: str, with_data: bool):
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * len(kinds), kinds)], names)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, base = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+        files, base = open_files(folder)
         rows: list[tuple] = []
         for batch in batches:
             for name in batch.column(0).to_pylist():
@@ -226,9 +229,11 @@ def _reader(folder: str, with_data: bool):
     return read
 
 
-def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = LEAST) -> tuple[str, DataFrame]:
+def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = LEAST, folder: str | None = None) -> tuple[str, DataFrame]:
     """Writes a record for each row; returns the folder and the manifest (``name, records, bytes``).
 
+    Archives stay in ``folder``, if one is given, and otherwise in the shared folder until the application ends.
+
     Of equal payloads (same bytes, at least ``least``) the smallest id is the response and
     the others revisit it. Null html is an empty payload. Rows that repeat the smallest id
     are responses too; null ids never serve as response for others, and are responses
@@ -240,7 +245,7 @@ def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
     first = table(first, "responses")  # so that the join has exchanges of its own, which it can split where a payload is hot
     joined = rows.withColumn("key", key).join(first, F.col("key") == F.col("same"), "left")
     refers = F.when(F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first")), F.col("first"))
-    folder = scratch(pages.sparkSession, "warc")
+    folder = qualified(pages.sparkSession, folder) if folder else scratch(pages.sparkSession, "warc")
     manifest = joined.select("id", "url", "html", refers.alias("refers_to")).mapInArrow(_writer(folder), "name string, records long, bytes long")
     return folder, table(manifest, "manifest")
 
@@ -262,7 +267,11 @@ def _page(column: str):
 
 
 def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = LEAST) -> DataFrame:
-    """Writes and reads back: ``id_col, payload_bytes, payload_digest, record_type, refers_to, target_uri`` for each row of ``pages``."""
+    """Writes and reads back: ``id_col, payload_bytes, payload_digest, record_type, refers_to, target_uri`` for each row of ``pages``.
+
+    Edge cases are those of ``write``: null html is an empty payload, null ids come back null, repeated rows are records of their
+    own, payloads of any size pass in chunks, further columns aren't read, and an empty table gives no rows.
+    """
     folder, manifest = write(pages, id_col, url_col, html_col, least)
     last = read_chunks(folder, manifest, with_data=False).where("is_last")
     return last.select(_page("record_id").alias(id_col), "payload_bytes", "payload_digest", "record_type", _page("refers_to").alias("refers_to"), "target_uri")

@@ -359,7 +359,7 @@ def test_shared_passages_go_whole_inside_foreign_lines(spark):
 # WARC
 
 
-def test_records_round_trip(spark):
+def test_records_round_trip(spark, tmp_path):
     big = "x" * (3 * warc.CHUNK + 5)
     data = [(5, "http://a/\r\nX: y", "é" * 10), (3, None, "é" * 10), (4, "u", None), (9, "u", ""), (7, "b", big), (8, "b", big), (8, "b", big), (None, "n", "alone"), (None, "n", big)]
     pages = spark.createDataFrame(data, "page_id long, url string, html string").withColumn("payload_bytes", F.lit(1))
@@ -380,11 +380,13 @@ def test_records_round_trip(spark):
     assert got == sorted(expected, key=repr)
     small = {r.page_id: r.record_type for r in warc.round_trip(pages.where("page_id is not null"), least=21).collect()}
     assert small[5] == small[9] == "response" and small[8] == "revisit"
+    kept, _ = warc.write(pages, folder=str(tmp_path / "kept"))
+    assert kept == f"file:{tmp_path}/kept" and any(x.suffix == ".gz" for x in (tmp_path / "kept").iterdir())
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
 def test_a_damaged_archive_stops_the_job(spark, tmp_path):
-    archive = warc.Archive(str(tmp_path))
+    archive = warc.Archive(f"file:{tmp_path}")
     archive.add(1, "u", memoryview(b"payload"), None)
     name, records, size = archive.close()
     import gzip
@@ -393,7 +395,7 @@ def test_a_damaged_archive_stops_the_job(spark, tmp_path):
     path.write_bytes(gzip.compress(gzip.decompress(path.read_bytes()).replace(b"payload", b"paYload")))
     manifest = spark.createDataFrame([(name, records, size)], "name string, records long, bytes long")
     with pytest.raises(Exception, match="doesn't match its digest"):
-        warc.read_chunks(str(tmp_path), manifest).collect()
+        warc.read_chunks(f"file:{tmp_path}", manifest).collect()
 
 
 # Links between hosts
@@ -410,15 +412,16 @@ def test_rules_and_urls(spark):
     assert linkgraph.verdicts(pages.limit(0)).count() == 0
 
 
-def plain_propagation(seeds, edges):
+def plain_propagation(seeds, weights):
+    edges = sorted(weights)
     out, into = Counter(a for a, _ in edges), Counter(b for _, b in edges)
     step = {h: (t * (1 - linkgraph.DAMPING), d * (1 - linkgraph.DAMPING)) for h, (t, d) in seeds.items()}
     total = dict(step)
     for _ in range(linkgraph.ROUNDS):
         new = defaultdict(lambda: [0.0, 0.0])
         for a, b in edges:
-            new[b][0] += linkgraph.DAMPING * step.get(a, (0, 0))[0] / out[a]
-            new[a][1] += linkgraph.DAMPING * step.get(b, (0, 0))[1] / into[b]
+            new[b][0] += linkgraph.DAMPING * weights[a, b] * step.get(a, (0, 0))[0] / out[a]
+            new[a][1] += linkgraph.DAMPING * weights[a, b] * step.get(b, (0, 0))[1] / into[b]
         step = {h: tuple(x) for h, x in new.items()}
         for h, (t, d) in step.items():
             total[h] = (total.get(h, (0, 0))[0] + t, total.get(h, (0, 0))[1] + d)
@@ -429,9 +432,10 @@ def test_propagation(spark):
     pick = random.Random(1)
     hosts = [f"h{i}" for i in range(12)]
     edges = sorted({(a, b) for a in hosts for b in hosts if a != b and pick.random() < 0.2})
+    weights = {e: pick.choice([1.0, 0.5]) for e in edges}
     seeds = {"h0": (1.0, 0.0), "h1": (0.0, 1.0), "h2": (0.3, 0.0)}
-    got = linkgraph.propagate(spark.createDataFrame([(h, *x) for h, x in seeds.items()], "host string, trust double, distrust double"), spark.createDataFrame(edges, "src string, dst string"))
-    expected = {h: x for h, x in plain_propagation(seeds, edges).items() if max(x) > 0}
+    got = linkgraph.propagate(spark.createDataFrame([(h, *x) for h, x in seeds.items()], "host string, trust double, distrust double"), spark.createDataFrame([(*e, w) for e, w in weights.items()], "src string, dst string, weight double"))
+    expected = {h: x for h, x in plain_propagation(seeds, weights).items() if max(x) > 0}
     found = {r.host: (r.trust, r.distrust) for r in got.collect()}
     assert set(found) == set(expected) and all(found[h] == pytest.approx(expected[h]) for h in expected)
 
@@ -443,6 +447,52 @@ def test_linking_to_blocked_hosts_is_blocked(spark):
     assert got == {1: "block", 2: "block", 3: "allow", 4: "block"}
 
 
+def plain_verdicts(pages, links):
+    """By definition from (id, host, path) and pairs of hosts."""
+    rules = sorted(linkgraph.RULES, key=lambda r: (-len(r[1] + r[2]), r[1] + r[2]))
+    ruled = {i: next((v for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)), None) for i, host, path in pages}
+    edges = {(a, b): 1.0 for a, b in links if a != b}
+    for host in {h for _, h, _ in pages} | {b for _, b in edges}:
+        while host.count(".") > 1:
+            parent = host.split(".", 1)[1]
+            edges = {(host, parent): linkgraph.KIN, (parent, host): linkgraph.KIN} | edges
+            host = parent
+    seeds = {}
+    for host in {h for _, h, _ in pages}:
+        mine = [ruled[i] for i, h, _ in pages if h == host]
+        share = (mine.count("allow") - mine.count("block")) / len(mine)
+        seeds[host] = (max(share, 0.0), max(-share, 0.0))
+    total = plain_propagation(seeds, edges)
+    alone = {h: (t * (1 - linkgraph.DAMPING), d * (1 - linkgraph.DAMPING)) for h, (t, d) in seeds.items()}
+    by = lambda scores, h: "block" if round(scores[h][1] - scores[h][0], 9) >= linkgraph.THRESHOLD else "allow"
+    return {i: ruled[i] or by(total, h) for i, h, _ in pages}, {i: ruled[i] or by(alone, h) for i, h, _ in pages}
+
+
+def test_verdicts_by_brute_force(spark):
+    pick = random.Random(12)
+    hosts = [f"{a}.{b}.{c}" for a in ("www", "m") for b in ("one", "two", "six", "ten", "far") for c in ("org", "net", "com", "example.com", "example.net")]
+    shapes = ["<a HREF='https://{}/x'>", '<img srcset="/y 1x, //{}/z 2x">', "<base href=//{}>", '<form action="http://{}?q=1">', '<a href="/go?url=http://{}/t">', "<p style='background:url(https://{})'>"]
+    pages, edges, rows_ = [], [], []
+    for i in range(220):
+        host, path = pick.choice(hosts), pick.choice(["/", "/en/a", "/de/b", "/fr/c", ""])
+        to = [pick.choice(hosts) for _ in range(pick.randrange(4))] if host.startswith("www") else []
+        pages.append((i, host, path))
+        edges += [(host, t) for t in to]
+        rows_.append((i, f"http://{host}{path}", "<a href='/local'>" + "".join(pick.choice(shapes).format(t.upper() if pick.random() < 0.2 else t) for t in to) + "x" * pick.choice([0, 100_000]), "clash"))
+    rows_ += rows_[:3]
+    frame = spark.createDataFrame(rows_, "page_id long, url string, html string, trust string")
+    expected, alone = plain_verdicts([*pages, *pages[:3]], edges)
+    got = {r.page_id: r.verdict for r in linkgraph.verdicts(frame).collect()}
+    assert got == expected
+    assert sum(expected[i] != alone[i] for i in expected) >= 10  # propagation decides some
+
+
+def test_verdicts_of_the_table(spark, sf):
+    got = {r.page_id: (r.host, r.path, r.verdict) for r in linkgraph.verdicts(read(spark, sf, "pages")).collect()}
+    expected, _ = plain_verdicts([(i, h, p) for i, (h, p, _) in got.items()], [])
+    assert {i: v for i, (_, _, v) in got.items()} == expected
+
+
 # Vectors
 
 
