@@ -45,8 +45,16 @@ def _portable(pattern: str) -> str:
 def _splitter(pattern: str) -> tuple[Callable[[list[str]], list[str]], Callable[[Column], Column], Callable[[Column], Column]]:
     compiled = re.compile(pattern, re.ASCII)
 
+    def parts(token: str) -> list[str]:
+        """What lies between matches; what groups hold isn't part of it."""
+        out, at = [], 0
+        for match in compiled.finditer(token):
+            out.append(token[at : match.start()])
+            at = match.end()
+        return [*out, token[at:]]
+
     def split_list(tokens: list[str]) -> list[str]:
-        return [part for token in tokens for part in compiled.split(token) if part]
+        return [part for token in tokens for part in parts(token) if part]
 
     def split_column(tokens: Column) -> Column:
         parts = F.flatten(F.transform(tokens, lambda t: F.split(t, pattern, -1)))

@@ -9,16 +9,19 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 
-def latest(changes: DataFrame, key: str, sequence: str) -> DataFrame:
-    """The last row of each key by ``sequence``."""
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(sequence)))
+def latest(changes: DataFrame, key: str, sequence: str | None = None) -> DataFrame:
+    """The last row of each key by ``sequence``; of ties, and without a sequence, the one whose values hash highest, so that reruns agree."""
+    values = F.xxhash64(*[F.col(f"`{c}`") for c in changes.columns])
+    rank = F.row_number().over(Window.partitionBy(f"`{key}`").orderBy(*([F.desc(f"`{sequence}`")] if sequence else []), F.desc(values)))
     return changes.withColumn("__rank", rank).where("__rank = 1").drop("__rank")
 
 
 def upsert(base: DataFrame, changes: DataFrame, key: str, sequence: str | None = None) -> DataFrame:
-    """``base`` with rows replaced or added by key; with ``sequence`` the last of several changes wins."""
-    new = latest(changes, key, sequence).drop(*([] if sequence in base.columns else [sequence])) if sequence else changes
-    return base.join(new.select(key), key, "left_anti").unionByName(new)
+    """``base`` with rows replaced or added by key, one for each; with ``sequence`` the last of several changes wins. A null key stops the job."""
+    new = latest(changes, key, sequence).drop(*([] if sequence is None or sequence in base.columns else [sequence]))
+    held = F.col(f"`{key}`")
+    new = new.withColumn(key, F.when(held.isNull(), F.raise_error(F.lit("a document needs a key")).cast(new.schema[key].dataType)).otherwise(held))
+    return base.join(new.select(held), key, "left_anti").unionByName(new)
 
 
 def delete(base: DataFrame, keys: DataFrame, key: str) -> DataFrame:
@@ -40,22 +43,51 @@ def new_guid() -> str:
     return str(uuid.uuid4())
 
 
-def assign_ids(known: DataFrame, guids: DataFrame, first: int = 1) -> DataFrame:
-    """``guid, id``: the known ids, and the next whole numbers for new guids in their order.
+def assign_ids(known: DataFrame, guids: DataFrame, first: int = 1, free: DataFrame | None = None) -> DataFrame:
+    """``guid, id``: the known ids, and ids for new guids in their order: those of ``free`` (``id``), smallest first, then the next whole numbers.
 
-    New guids are range-partitioned and numbered within partitions; only the partitions'
-    counts reach the driver.
+    Guids are dealt to ranges whose bounds are drawn from a bounded sample and numbered within
+    them; only bounds and counts reach the driver, and a task that runs again numbers alike.
     """
     spark = known.sparkSession
-    new = guids.select("guid").distinct().join(known.select("guid"), "guid", "left_anti")
-    placed = new.repartitionByRange(F.col("guid")).sortWithinPartitions("guid").withColumn("__at", F.monotonically_increasing_id()).persist()
-    counts = sorted(tuple(r) for r in placed.groupBy(F.shiftright("__at", 33).alias("part")).count().collect())
+    new = numbered(guids.select("guid").distinct().join(known.select("guid"), "guid", "left_anti"), "guid")
     last = known.agg(F.max("id")).first()[0]
-    start, rows = first if last is None else last + 1, []
-    for part, n in counts:
-        rows.append((part, start))
-        start += n
-    offsets = spark.createDataFrame(rows, "part long, start long")
-    numbered = placed.join(F.broadcast(offsets), F.shiftright("__at", 33) == F.col("part"))  # a row a partition
-    numbered = numbered.select("guid", (F.col("start") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))).alias("id"))
-    return known.select("guid", F.col("id").cast("long").alias("id")).union(numbered)
+    last = first - 1 if last is None else last
+    if free is None:
+        named = new.select("guid", (F.col("nth") + last).alias("id"))
+    else:
+        free = free.select("id").distinct()
+        last = max(last, free.agg(F.max("id")).first()[0] or last)
+        n = free.count()
+        spare = numbered(free, "id").withColumnRenamed("nth", "at")
+        named = new.join(spare, F.col("nth") == F.col("at"), "left").select("guid", F.coalesce("id", F.col("nth") - n + last).alias("id"))
+    return known.select("guid", F.col("id").cast("long").alias("id")).union(named)
+
+
+def numbered(rows: DataFrame, column: str, sample: int = 20_000) -> DataFrame:
+    """``rows`` with ``nth``, the place of each distinct value of ``column`` from 1 in ascending order."""
+    spark = rows.sparkSession
+    ranges = min(200, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    drawn = rows.select(column).orderBy(F.xxhash64(column)).limit(sample)
+    bounds = sorted(r[0] for r in drawn.collect())[:: max(1, sample // ranges)][1:]
+    part = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.col(column))) if bounds else F.lit(0)
+    dealt = rows.withColumn("__part", part)
+    counts = sorted(tuple(r) for r in dealt.groupBy("__part").count().collect())
+    before, offsets = 0, []
+    for number, n in counts:
+        offsets.append((number, before))
+        before += n
+    offsets = spark.createDataFrame(offsets, "__part int, __before long")
+    place = F.row_number().over(Window.partitionBy("__part").orderBy(column))
+    return dealt.join(F.broadcast(offsets), "__part").withColumn("nth", F.col("__before") + place).drop("__part", "__before")  # a row a range
+
+
+def release_ids(known: DataFrame, guids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``known`` (``guid, id``) without ``guids``, and the ids (``id``) that this frees; unknown guids free none."""
+    gone = guids.select("guid").distinct()
+    return known.join(gone, "guid", "left_anti"), known.join(gone, "guid", "left_semi").select("id")
+
+
+def guids_of(known: DataFrame, ids: DataFrame) -> DataFrame:
+    """``id, guid`` of the ids that are known."""
+    return known.join(ids.select("id").distinct(), "id").select("id", "guid")

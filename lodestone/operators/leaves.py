@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from functools import reduce
 
@@ -20,9 +21,14 @@ def everything() -> Column:
     return F.lit(True)
 
 
+def plain(name: str) -> str:
+    """A field's name as part of a column's that needs no quotes; no two fields share one."""
+    return re.sub(r"\W|_", lambda m: f"_{ord(m[0]):x}_" if m[0] != "_" else "__", name)
+
+
 def tokens_column(name: str) -> str:
     """The column that holds the tokens of a text field."""
-    return f"__tok_{name}"
+    return f"__tok_{plain(name)}"
 
 
 def literal(spec: FieldSpec, value: object) -> Column:

@@ -214,7 +214,7 @@ class Runner:
 
 
 def _extreme(agg: ExtremeAgg) -> str:
-    return f"__{'min' if agg.least else 'max'}_{agg.field}"
+    return f"__{'min' if agg.least else 'max'}_{leaves.plain(agg.field)}"
 
 
 @dataclass

@@ -121,20 +121,21 @@ class Statistics:
 
     wanted: dict[str, Column] = field(default_factory=dict)
     per_document: dict[str, Column] = field(default_factory=dict)
-    _tokens: dict[tuple[str, str], int] = field(default_factory=dict)
+    #: Field and token: number of its columns ``__tf_``, its count in a document, and ``__df_``, the documents that hold it.
+    tokens: dict[tuple[str, str], int] = field(default_factory=dict)
 
     def of(self, name: str, token: str) -> dict[str, Column]:
         """The arguments of ``scoring.bm25`` for a token of a field, as references."""
-        tokens = F.col(leaves.tokens_column(name))
-        n_docs, average, length = f"__n_{name}", f"__len_{name}", f"__dl_{name}"
+        tokens, known = F.col(leaves.tokens_column(name)), leaves.plain(name)
+        n_docs, average, length = f"__n_{known}", f"__len_{known}", f"__dl_{known}"
         self.wanted.setdefault(n_docs, F.count_if(F.size(tokens) > 0))
         self.wanted.setdefault(average, F.avg(F.when(F.size(tokens) > 0, F.size(tokens))))
         self.per_document.setdefault(length, F.size(tokens))
-        if (name, token) not in self._tokens:
-            at = self._tokens[name, token] = len(self._tokens)
+        if (name, token) not in self.tokens:
+            at = self.tokens[name, token] = len(self.tokens)
             self.wanted[f"__df_{at}"] = F.count_if(F.array_contains(tokens, token))
             self.per_document[f"__tf_{at}"] = scoring.term_count(tokens, token)
-        at = self._tokens[name, token]
+        at = self.tokens[name, token]
         return {"count": F.col(f"__tf_{at}"), "length": F.col(length), "n_docs": F.col(n_docs), "n_with": F.col(f"__df_{at}"), "average": F.col(average)}
 
 
@@ -146,13 +147,17 @@ class Compiled:
 
 @dataclass
 class Compiler:
-    """Compiles a tree against a schema. Field names that don't exist match nothing."""
+    """Compiles a tree against a schema. Field names that don't exist match nothing.
+
+    ``inverted``: texts are tested by the counts of their tokens, which an inverted index brings.
+    """
 
     schema: Schema
     score_filters: bool = True
     boost: float = 1.0
     k1: float = scoring.K1
     b: float = scoring.B
+    inverted: bool = False
     statistics: Statistics = field(default_factory=Statistics)
 
     def compile(self, query: Query) -> Compiled:
@@ -174,7 +179,7 @@ class Compiler:
         if spec.kind == "text":
             text = coerce("text", query.query)
             tokens = [text] if isinstance(query, Term) else self.schema.analyzer_of(spec.name).tokens(text)
-            return Compiled(leaves.any_token(spec, tokens), self._relevance(spec, tokens))
+            return Compiled(self._any_token(spec, tokens), self._relevance(spec, tokens))
         return self._flat(leaves.equals(spec, query.query))
 
     @staticmethod
@@ -184,7 +189,7 @@ class Compiler:
     def _terms(self, spec: FieldSpec, wanted: tuple) -> Compiled:
         if spec.kind == "text":
             tokens = [coerce("text", v) for v in wanted]
-            return Compiled(leaves.any_token(spec, tokens), self._relevance(spec, tokens))
+            return Compiled(self._any_token(spec, tokens), self._relevance(spec, tokens))
         found = [v for v in (coerce(spec.kind, v) for v in wanted) if v is not NO_MATCH]
         if not found:
             return Compiled(leaves.nothing(), F.lit(0.0))
@@ -192,6 +197,11 @@ class Compiler:
         test = reduce(lambda a, b: a | b, tests) if spec.many else F.col(f"`{spec.name}`").isin([leaves.literal(spec, v) for v in dict.fromkeys(found)])
         return Compiled(test, reduce(lambda a, b: a + b, [F.when(t, 1.0).otherwise(0.0) for t in tests]))
 
+    def _any_token(self, spec: FieldSpec, tokens: list[str]) -> Column:
+        if not self.inverted or not tokens:
+            return leaves.any_token(spec, tokens)
+        return reduce(lambda a, b: a | b, [F.coalesce(self.statistics.of(spec.name, t)["count"], F.lit(0)) > 0 for t in dict.fromkeys(tokens)])
+
     def _relevance(self, spec: FieldSpec, tokens: list[str]) -> Column:
         """The sum of BM25 over the tokens, repeats counted."""
         parts = [scoring.bm25(**self.statistics.of(spec.name, token), k1=self.k1, b=self.b) for token in tokens]

@@ -54,7 +54,7 @@ class Schema:
         fields = {}
         for name, body in declared.items():
             where = f"fields.{name}"
-            if not name or not NAME.search(name):
+            if not name or not NAME.findall(name):
                 problems[where] = "the name needs a letter or digit"
                 continue
             body = body or {}

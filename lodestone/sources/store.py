@@ -12,23 +12,33 @@ from lodestone.errors import LodestoneError, NotFound
 
 
 class JsonStore:
-    """Reads its file when first used and writes it after each change (``autosave``) or on ``stop``."""
+    """Reads its newest version when first used and writes the next after each change (``autosave``) or on ``stop``.
+
+    A version is a file of its own, renamed to its name when whole, and the one before stays:
+    whenever a writer is cut off, the newest whole version is there to read.
+    """
 
     def __init__(self, spark: SparkSession, path: str, autosave: bool = True) -> None:
         self.spark, self.path, self.autosave = spark, path, autosave
         self._records: dict | None = None
 
-    def _file(self):
-        target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
-        return target, target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+    def _at(self, path: str):
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+
+    def _versions(self) -> tuple[object, list[tuple[int, str]]]:
+        """The file system, and the number and path of each whole version, the newest last."""
+        target = self._at(self.path)
+        files = target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        found = [str(f.getPath()) for f in files.globStatus(self._at(f"{self.path}.*")) or ()]
+        return files, sorted((int(f.rsplit(".", 1)[1]), f) for f in found if f.rsplit(".", 1)[1].isdigit())
 
     @property
     def records(self) -> dict:
         if self._records is None:
-            target, files = self._file()
+            _, versions = self._versions()
             self._records = {}
-            if files.exists(target):
-                text = "\n".join(r[0] for r in self.spark.read.text(self.path).collect())
+            if versions:
+                text = "\n".join(r[0] for r in self.spark.read.text(versions[-1][1]).collect())
                 self._records = json.loads(text) if text else {}
         return self._records
 
@@ -68,12 +78,14 @@ class JsonStore:
             self.stop()
 
     def stop(self) -> None:
-        """Writes a new file beside the old one and puts it in its place."""
-        jvm = self.spark.sparkContext._jvm
-        target, files = self._file()
-        beside = jvm.org.apache.hadoop.fs.Path(f"{self.path}.new")
+        """Writes the next version beside the others, then removes all but it and the one before."""
+        files, versions = self._versions()
+        number = versions[-1][0] + 1 if versions else 1
+        beside = self._at(f"{self.path}.{number}.new")
         stream = files.create(beside, True)
         stream.write(bytearray(json.dumps(self.records), "utf-8"))
         stream.close()
-        files.delete(target, False)
-        files.rename(beside, target)
+        if not files.rename(beside, self._at(f"{self.path}.{number}")):
+            raise LodestoneError(f"{self.path} has been written by another")
+        for _, old in versions[:-1]:
+            files.delete(self._at(old), False)

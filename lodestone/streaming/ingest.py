@@ -19,7 +19,7 @@ def ingest(stream: DataFrame, engine: Engine, name: str, checkpoint: str, sequen
         index = engine.get_index(name)
         good = conform(index.schema, batch, "__problems").where("size(__problems) = 0")
         columns = [index.key, *index.schema.fields, *([sequence] if sequence and sequence not in index.schema.fields else [])]
-        index.upsert(good.select(*columns) if sequence else good.select(*columns).dropDuplicates([index.key]), sequence)
+        index.upsert(good.select(*[f"`{c}`" for c in columns]), sequence)
         engine.save(name)
 
     return stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

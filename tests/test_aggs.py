@@ -25,7 +25,7 @@ def index(spark):
 
 
 def run(index, body, query=None, **options):
-    return index.search({"aggs": {"a": body}, **({"query": query} if query else {})}, **options)["aggs"]["a"]
+    return index.answer({"aggs": {"a": body}, **({"query": query} if query else {})}, **options)["aggs"]["a"]
 
 
 def shape(found):

@@ -171,7 +171,7 @@ def test_document_life(spark):
     index.add({"f2": "b"}, "g2")
     assert index.get(first) == {"f1": [True], "f2": ["a"]} and index.get("g2") == {"f1": [], "f2": ["b"]}
     index.add({"f2": "c"}, "g2")
-    assert index.get("g2")["f2"] == ["c"] and index.search({})["hits"]["total"]["value"] == 2
+    assert index.get("g2")["f2"] == ["c"] and index.answer({})["hits"]["total"]["value"] == 2
     index.delete(["g2", "unknown"])
     with pytest.raises(DocumentNotFound):
         index.get("g2")
@@ -193,14 +193,14 @@ def test_ids(spark):
     assert [tuple(r) for r in fresh.collect()] == [("x", 1)]
 
 
-def test_search_response(spark):
+def test_answers(spark):
     index = Index.over("t", GOOD, spark.createDataFrame([(i, True, "foo " * i) for i in range(1, 6)], "id long, name boolean, name2 string"), "id")
-    found = index.search({"query": {"type": "match", "field": "name2", "query": "foo"}, "limit": 2, "offset": 1})
+    found = index.answer({"query": {"type": "match", "field": "name2", "query": "foo"}, "limit": 2, "offset": 1})
     assert [h["id"] for h in found["hits"]["hits"]] == [2, 3] and found["hits"]["total"] == {"value": 5, "relation": "eq"}
     assert found["took"] > 0 and found["hits"]["maxScore"] > 0 and "aggs" not in found
-    best = index.search({"query": {"type": "match", "field": "name2", "query": "foo"}, "order": "score", "limit": 1})["hits"]
+    best = index.answer({"query": {"type": "match", "field": "name2", "query": "foo"}, "order": "score", "limit": 1})["hits"]
     assert best["hits"][0]["score"] == best["maxScore"]
-    assert index.search({"query": {"type": "term", "field": "name", "query": False}})["hits"] == {"total": {"value": 0, "relation": "eq"}, "hits": [], "maxScore": 0.0}
+    assert index.answer({"query": {"type": "term", "field": "name", "query": False}})["hits"] == {"total": {"value": 0, "relation": "eq"}, "hits": [], "maxScore": 0.0}
 
 
 def test_catalog(spark, tmp_path):
