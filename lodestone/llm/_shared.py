@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -21,10 +23,15 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share, with its scheme: ``spark.checkpoint.dir``, or the context's checkpoint folder."""
+    """The folder that the driver and all executors share, with its scheme: ``spark.checkpoint.dir``, or the context's checkpoint folder.
+
+    Where neither is set, a local one serves a session without executors of its own (tests); a cluster is refused.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="lodestone-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(folder)
     return qualified(spark, folder)

@@ -152,7 +152,7 @@ def removals(docs: DataFrame, spans: Spans = _chunk_spans) -> DataFrame:
     bodies = table(bodies.mapInArrow(_reader(spans), "doc long, th long, no int, h1 long, h2 long, is_first boolean, body string"), "bodies")
     firsts = bodies.where("is_first").groupBy("h1", "h2").agg(F.min("body").alias("first_body"))
     firsts = table(firsts, "firsts")  # the join with it can be split where a digest is hot
-    differ = table(bodies.join(firsts, ["h1", "h2"]).where("body <> first_body").select("h1", "h2").distinct(), "differ")
+    differ = table(bodies.join(firsts, ["h1", "h2"]).where("body <> first_body").select("h1", "h2"), "differ")
     gone = many.where("not is_first").join(differ, ["h1", "h2"], "left_anti").select("doc", "th", "no")
     if not differ.isEmpty():  # two texts under one digest: told apart by their bytes
         apart = table(bodies.join(differ, ["h1", "h2"], "left_semi"), "apart")
