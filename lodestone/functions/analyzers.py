@@ -42,8 +42,23 @@ def _portable(pattern: str) -> str:
     return "".join(out)
 
 
+def _for_python(pattern: str) -> str:
+    """A portable pattern with Java's word boundaries, which know letters beyond ASCII, unlike its word characters."""
+    out, inside, i = [], False, 0
+    while i < len(pattern):
+        if pattern[i] == "\\":
+            two = pattern[i : i + 2]
+            out.append(f"(?u:{two})" if two in (r"\b", r"\B") and not inside else two)
+            i += 2
+            continue
+        inside = pattern[i] == "[" or (inside and pattern[i] != "]")
+        out.append(pattern[i])
+        i += 1
+    return "".join(out)
+
+
 def _splitter(pattern: str) -> tuple[Callable[[list[str]], list[str]], Callable[[Column], Column], Callable[[Column], Column]]:
-    compiled = re.compile(pattern, re.ASCII)
+    compiled = re.compile(_for_python(pattern), re.ASCII)
 
     def parts(token: str) -> list[str]:
         """What lies between matches; what groups hold isn't part of it."""

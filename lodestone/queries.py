@@ -2,24 +2,29 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.errors import ValidationError
 from lodestone.functions import scoring
 from lodestone.functions.analyzers import Analyzer
-from lodestone.index import Index
+from lodestone.index import GUID, Index
 from lodestone.operators import documents as rows
 from lodestone.operators import leaves
 from lodestone.plans import aggs as aggregations
 from lodestone.plans.schema import Schema, conform
+from lodestone.sources.catalog import Engine, work_folder
+from lodestone.sources.documents import read_json, write_json
 
 ANALYZERS = {
     "ws": {"analyzers": [{"type": "whitespace"}]},
     "uniq": {"analyzers": [{"type": "whitespace"}, {"type": "dedup"}]},
     "re": {"analyzers": [{"type": "regexp", "settings": {"pattern": r"[\s,.]"}}]},
     "nop": {"analyzers": [{"type": "nop"}]},
+    "groups": {"analyzers": [{"type": "regexp", "settings": {"pattern": r"(,|\.)\s*|(\s)+"}}]},
 }
 
 
@@ -90,7 +95,7 @@ _hits("range_bool_empty", "labels", between("toxic", 0, 1), "false", cast={"toxi
 _hits("term_integer", "part", term("p_size", 7), "p_size = 7")
 _hits("match_integer", "part", {"type": "match", "field": "p_size", "query": "7"}, "p_size = 7")
 _hits("term_long", "events", term("user_id", 3), "user_id = 3")
-_hits("term_double", "orders", term("o_totalprice", 1000.0), "o_totalprice = 1000.0")
+_hits("term_double", "part", term("p_retailprice", 901.0), "p_retailprice = 901.0")
 for _kind, _type in (("short", "smallint"), ("byte", "tinyint"), ("unsigned_long", "decimal(20,0)"), ("float", "float")):
     _hits(f"term_{_kind}", "part", term("p_size", 9), "p_size = 9", spec=_fields(p_size=_kind), cast={"p_size": _type})
     _hits(f"range_{_kind}", "part", between("p_size", 5, 9, True), "p_size >= 5 AND p_size < 9", spec=_fields(p_size=_kind), cast={"p_size": _type})
@@ -128,6 +133,39 @@ _hits(
     "1.0::DOUBLE + (p_size = 1)::INT + 2 * (p_size > 40 AND p_type = 'PROMO')::INT",
 )
 
+# Fields of several values
+
+MANY = {"fields": {"tags": {"type": "keyword", "many": True}, "sizes": {"type": "integer", "many": True}}}
+
+
+def _many(spark: SparkSession, sf_dir: str) -> Index:
+    tags, sizes = F.array("p_brand", "p_type", "p_brand", F.lit(None).cast("string")), F.array(F.col("p_size"), F.col("p_size") + 25)
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").withColumns({"tags": F.when(F.col("p_size") != 1, tags), "sizes": sizes})
+    return index(spark, sf_dir, "part", MANY, part)
+
+
+def _many_hits(name: str, query: Mapping, where: str, score: str = "1.0::DOUBLE") -> None:
+    @_add(name, f"SELECT p_partkey, {score} AS score FROM part WHERE {where}")
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _many(spark, sf_dir).hits(query)
+
+
+_many_hits("many_term", term("tags", "PROMO"), "p_type = 'PROMO' AND p_size <> 1")
+_many_hits("many_terms", {"type": "terms", "field": "sizes", "query": [3, 28, 40]}, "p_size IN (3, 28, 40) OR p_size + 25 IN (3, 28, 40)", "(p_size IN (3, 28, 40))::INT + (p_size + 25 IN (3, 28, 40))::INT::DOUBLE")
+_many_hits("many_range", between("sizes", 10, 30, True), "(p_size >= 10 AND p_size < 30) OR (p_size + 25 >= 10 AND p_size + 25 < 30)")
+
+
+@_add("many_terms_agg", "SELECT key, count(*) AS doc_count FROM (SELECT unnest(list_distinct([p_brand, p_type])) AS key FROM part WHERE p_size <> 1) GROUP BY key ORDER BY doc_count DESC, key LIMIT 15")
+def many_terms_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _buckets(_many(spark, sf_dir).aggregations({"a": _terms("tags", 15)}), None)
+
+
+@_add("many_min_range_agg", "SELECT count(*) FILTER (p_size BETWEEN 5 AND 20 OR p_size + 25 BETWEEN 5 AND 20) AS mid, min(p_size) AS least FROM part")
+def many_min_range_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aggs = {"r": {"type": "range", "field": "sizes", "ranges": [{"key": "mid", "from": 5, "to": 20}]}, "m": {"type": "min", "field": "sizes"}}
+    return _many(spark, sf_dir).aggregations(aggs).figures.toDF("mid", "least")
+
+
 # Text: tokens, statistics and relevance
 
 WS_SQL = r"list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')"
@@ -179,6 +217,25 @@ def term_text_nop_token(spark: SparkSession, sf_dir: str) -> DataFrame:
 TOKENS_SQL = f"WITH t AS (SELECT doc_id, {WS_SQL} AS tok FROM documents), p AS (SELECT doc_id, token, count(*) AS cnt, any_value(dl) AS dl FROM (SELECT doc_id, len(tok) AS dl, unnest(tok) AS token FROM t) GROUP BY ALL)"
 
 
+_text("match_text_regexp_groups", match("the, of"), _bm25_sql(r"list_filter(string_split_regex(text, '(,|\.)\s*|(\s)+'), lambda x: x <> '')", ["the", "of"]), "groups")
+
+
+def _ranked(name: str, sql: str, query: Mapping, **options) -> None:
+    @_add(name, sql)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return index(spark, sf_dir, "documents").hits(query, **options).withColumn("score", F.round("score", 6))
+
+
+_ranked("match_order_score", f"{_bm25_sql(WS_SQL, ['the', 'was'])} ORDER BY score DESC, doc_id LIMIT 20", match("the was"), order="score", limit=20)
+_ranked(
+    "bool_score_filters_off",
+    _bm25_sql(WS_SQL, ["the"], "lang = 'en' AND n_chars > 500"),
+    {"type": "bool", "must": [match("the")], "filter": [term("lang", "en"), between("n_chars", 500)]},
+    score_filters=False,
+)
+_ranked("match_boost", f"SELECT doc_id, round(2.5 * score, 6) AS score FROM ({_bm25_sql(WS_SQL, ['the', 'of']).replace(', 6) AS score', ', 12) AS score')})", match("the of"), boost=2.5)
+
+
 def postings(found: Index) -> DataFrame:
     """``doc_id, token, cnt, dl``: the inverted index of a text field."""
     docs = found.docs.select(found.key, F.explode(leaves.tokens_column("text")).alias("token"), F.size(leaves.tokens_column("text")).alias("dl"))
@@ -198,11 +255,11 @@ def idf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.crossJoin(F.broadcast(n)).select("token", "df", F.round(scoring.idf(F.col("n"), F.col("df")), 6).alias("idf"))
 
 
-@_add("tfidf", f"{TOKENS_SQL}, n AS (SELECT count(*) AS n FROM t WHERE len(tok) > 0), d AS (SELECT token, count(*) AS df FROM p GROUP BY token) SELECT doc_id, token, round(cnt::DOUBLE / dl * (ln(n::DOUBLE / df) + 1), 6) AS tfidf FROM p JOIN d USING (token), n WHERE token IN ('the', 'der', 'la')")
+@_add("tfidf", f"{TOKENS_SQL}, n AS (SELECT count(*) AS n FROM t WHERE len(tok) > 0), d AS (SELECT token, count(*) AS df FROM p GROUP BY token) SELECT doc_id, token, round(cnt::DOUBLE / dl * (ln(n::DOUBLE / df) + 1), 6) AS tfidf FROM p JOIN d USING (token), n")
 def tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = index(spark, sf_dir, "documents")
     n = found.statistics({"n": F.count_if(F.size(leaves.tokens_column("text")) > 0)})
-    wanted = postings(found).where(F.col("token").isin("the", "der", "la"))
+    wanted = postings(found)
     df = wanted.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     score = scoring.tfidf(F.col("cnt"), F.col("dl"), F.col("n"), F.col("df"))
     return wanted.join(df, "token").crossJoin(F.broadcast(n)).select("doc_id", "token", F.round(score, 6).alias("tfidf"))
@@ -374,6 +431,75 @@ def assign_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.assign_ids(part.where("id <= 50"), part.select("guid"))
 
 
+@_add(
+    "id_reuse",
+    "WITH p AS (SELECT p_partkey::VARCHAR AS guid, p_partkey AS id FROM part), k AS (SELECT * FROM p WHERE id <= 50 AND id % 5 <> 0), "
+    "f AS (SELECT id, row_number() OVER (ORDER BY id) AS n FROM p WHERE id <= 50 AND id % 5 = 0), "
+    "w AS (SELECT guid, row_number() OVER (ORDER BY guid) AS n FROM p WHERE id > 50 OR id % 5 = 0) "
+    "SELECT * FROM k UNION ALL SELECT guid, coalesce(f.id, w.n - (SELECT count(*) FROM f) + 50) AS id FROM w LEFT JOIN f USING (n)",
+)
+def id_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").cast("string").alias("guid"), F.col("p_partkey").alias("id"))
+    known, free = rows.release_ids(part.where("id <= 50"), part.where("id % 5 = 0 AND id <= 50"))
+    return rows.assign_ids(known, part.select("guid"), free=free)
+
+
+@_add("id_lookup", "SELECT p_partkey AS id, p_partkey::VARCHAR AS guid FROM part WHERE p_partkey <= 50 AND p_partkey % 7 = 0")
+def id_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").cast("string").alias("guid"), F.col("p_partkey").alias("id"))
+    return rows.guids_of(part.where("id <= 50"), part.where("id % 7 = 0").select("id"))
+
+
+# Engines on storage
+
+
+def _engine(spark: SparkSession) -> Engine:
+    return Engine(spark, f"{work_folder(spark)}/engine-{uuid.uuid4().hex}")
+
+
+def saved_documents(spark: SparkSession, sf_dir: str) -> Index:
+    """An index of the documents, saved and opened again."""
+    engine = _engine(spark)
+    engine.create_index("docs", TABLES["documents"][1], spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id")
+    engine.save("docs")
+    return Engine(spark, engine.folder).get_index("docs")
+
+
+def _saved(name: str, query: Mapping, sql: str) -> None:
+    @_add(name, sql)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return saved_documents(spark, sf_dir).hits(query).withColumn("score", F.round("score", 6))
+
+
+_saved("saved_index_hits", match("the was zzz"), _bm25_sql(WS_SQL, ["the", "was", "zzz"]))
+_saved("saved_index_bool", {"type": "bool", "must": [match("the of")], "filter": [term("lang", "en"), between("n_chars", 500)]}, _bm25_sql(WS_SQL, ["the", "of"], "lang = 'en' AND n_chars > 500", "2"))
+
+
+@_add("catalog_listing", "SELECT * FROM (VALUES ('../up', false), ('a b', false), ('docs', true), ('parts', true)) t(name, listed)")
+def catalog_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which of four names an engine lists that was opened anew: two created, one created and dropped, one refused."""
+    engine = _engine(spark)
+    for name in ("docs", "parts", "a b", "../up"):
+        try:
+            engine.create_index(name, TABLES["part"][1])
+        except ValidationError:
+            pass
+    engine.drop_index("a b")
+    listed = Engine(spark, engine.folder).list_indexes()
+    names = spark.createDataFrame([(n,) for n in ("docs", "parts", "a b", "../up")], "name string")
+    return names.join(listed.select("name", F.lit(True).alias("listed")), "name", "left").select("name", F.coalesce("listed", F.lit(False)).alias("listed"))
+
+
+@_add("ingest_json", "SELECT event_id::VARCHAR AS guid, event_type, value FROM events WHERE event_type = 'click' AND value > 20")
+def ingest_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = Schema.parse(TABLES["events"][1])
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn(GUID, F.col("event_id").cast("string"))
+    path = f"{work_folder(spark)}/events-{uuid.uuid4().hex}"
+    write_json(events, path, schema)
+    found = Index.over("events", TABLES["events"][1], read_json(spark, path, schema).where("_corrupt is null"), GUID)
+    return found.matching({"type": "bool", "filter": [term("event_type", "click"), between("value", 20)]}).select(GUID, "event_type", "value")
+
+
 @_add("validate_docs", "SELECT o_orderkey, (CASE WHEN o_orderkey > 127 OR o_orderkey < -128 THEN 1 ELSE 0 END + CASE WHEN o_totalprice <> floor(o_totalprice) THEN 1 ELSE 0 END + 1)::INT AS n_problems FROM orders")
 def validate_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = Schema.parse({"fields": {"small": {"type": "byte"}, "price": {"type": "long"}, "missing": {"type": "keyword", "required": True}}})

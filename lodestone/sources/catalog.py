@@ -4,18 +4,29 @@ from __future__ import annotations
 
 import datetime
 import re
+import tempfile
 import uuid
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.errors import IndexAlreadyExists, IndexNotFound, ValidationError
+from lodestone.errors import IndexAlreadyExists, IndexNotFound, InvalidRequest, ValidationError
 from lodestone.index import GUID, Index, Inverted
 from lodestone.operators import leaves
 from lodestone.plans.schema import Schema
 from lodestone.sources.store import JsonStore
 
 
+def work_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share; where none is set, a local one for a session without executors of its own."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise InvalidRequest("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="lodestone-")
+
+
 class Engine:
     """Without a folder, indexes last as long as the object."""
 
