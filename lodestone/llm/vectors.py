@@ -130,12 +130,11 @@ def _blocks(hashed: DataFrame, window: int) -> DataFrame:
 
 
 def _neighbours(group: pd.DataFrame) -> pd.DataFrame:
-    """Spanning links of each run of neighbours: enough for components, fewer than twice the rows."""
+    """What verified links between neighbours connect within a block, as links of each with one of them: chains of links are short."""
     group = group.sort_values("place")
     ids, own, kind = group["node"].to_numpy(), ~group["lent"].to_numpy(), group["kind"].to_numpy()
     vectors = group["vector"].to_numpy()
     root = np.arange(len(ids))
-    a, b = [], []
 
     def find(x: int) -> int:
         while root[x] != x:
@@ -151,10 +150,10 @@ def _neighbours(group: pd.DataFrame) -> pd.DataFrame:
             for i in near[own[at[near]]]:
                 x, y = find(at[i]), find(at[i + gap])
                 if x != y:
-                    root[y] = x
-                    a.append(ids[at[i]])
-                    b.append(ids[at[i + gap]])
-    return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+                    root[max(x, y)] = min(x, y)
+    top = np.array([find(x) for x in range(len(ids))], np.int64)
+    some = top != np.arange(len(ids))
+    return pd.DataFrame({"a": ids[top[some]], "b": ids[some]})
 
 
 def _candidates(first: int | None):
@@ -204,8 +203,8 @@ def components(vectors: DataFrame, recall: float = RECALL) -> DataFrame:
     links = table(_blocks(hashed, NEIGHBOURS).groupBy("block").applyInPandas(_neighbours, "a long, b long"), "near")
     left, right = (vectors.select(F.col("node").alias(k), F.col("vector").alias(v)) for k, v in (("a", "va"), ("b", "vb")))
 
-    def labelled(of: DataFrame, links: DataFrame) -> DataFrame:
-        found = table(connected_components(links), "labels").withColumnRenamed("node", "of")
+    def labelled(of: DataFrame, labels: DataFrame) -> DataFrame:
+        found = table(labels.toDF("of", "component"), "labels")
         return of.drop("label").join(found, F.col("node") == F.col("of"), "left").withColumn("label", F.coalesce("component", "node")).drop("of", "component")
 
     def verified(blocks: DataFrame, first: int | None) -> tuple[DataFrame, bool]:
@@ -213,13 +212,14 @@ def components(vectors: DataFrame, recall: float = RECALL) -> DataFrame:
         both = pairs.where("a is not null").join(left, "a").join(right, "b").select("a", "b", "va", "vb")
         return table(both.mapInArrow(_verify, "a long, b long"), "verified"), not pairs.where("a is null").isEmpty()
 
-    rest = labelled(vectors, links).select("node", "vector", "label")
+    # Labels that don't yet join all that is linked cost candidates, and lose none.
+    rest = labelled(vectors, links.groupBy("b").agg(F.min("a"))).select("node", "vector", "label")
     rest = rest.mapInArrow(_hash_rest(passes(n, recall)), "node long, kind long, key long, s1 long, s2 long, label long")
     blocks = _blocks(rest, WINDOW)
     found, more = verified(blocks, FIRST)
     links = links.union(found)
     if more:
-        links = links.union(verified(labelled(blocks, links), None)[0])
+        links = links.union(verified(labelled(blocks, connected_components(links)), None)[0])
     return connected_components(links)
 
 
