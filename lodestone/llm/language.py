@@ -28,7 +28,7 @@ SMOOTHING = 0.5
 #: Words beyond which more evidence no longer raises the score.
 FULL_EVIDENCE = 12
 UNDETERMINED = "und"
-#: Words whose scores a task keeps at hand.
+#: Unseen words whose scores a task keeps at hand.
 CACHE = 1 << 18
 WORD = regex.compile(r"\p{L}+")
 _WORDLIKE = re.compile(r"[^\W\d_]+")
@@ -55,19 +55,30 @@ class Tables:
     words: dict[str, int]
     grams: dict[int, dict[str, int]]
     scores: np.ndarray
-    cache: dict[str, np.ndarray] = field(default_factory=dict)
-
-    def word(self, word: str) -> np.ndarray:
-        """The scores of a word: its own, or the mean of its known n-grams of the longest length that has any; else zeros."""
-        row = self.words.get(word)
-        if row is not None:
-            return self.scores[row]
-        for n in LENGTHS:
-            table = self.grams[n]
-            found = [table[g] for g in grams(word, n) if g in table]
-            if found:
-                return self.scores[found].mean(axis=0)
-        return np.zeros(len(self.languages))
+    #: Words met so far and their rows of ``table``: those of ``scores``, then what others were found to have.
+    place: dict[str, int] = field(default_factory=dict)
+    table: np.ndarray | None = None
+
+    def _take_in(self, words: set[str]) -> None:
+        """Words get their scores: a known one its own, another the mean of its known n-grams of the longest length that has any, or zeros."""
+        if self.table is None or len(self.place) > len(self.words) + CACHE:
+            self.place, self.table = dict(self.words), self.scores
+        new = list(words.difference(self.place))
+        if not new:
+            return
+        rows, counts = [], []
+        for word in new:
+            for n in LENGTHS:
+                known = self.grams[n]
+                found = [known[g] for g in grams(word, n) if g in known]
+                if found:
+                    break
+            rows += found
+            counts.append(len(found))
+        counts, sums = np.array(counts), np.zeros((len(new), len(self.languages)))
+        np.add.at(sums, np.repeat(np.arange(len(new)), counts), self.scores[rows])
+        self.place.update(zip(new, range(len(self.table), len(self.table) + len(new))))
+        self.table = np.concatenate([self.table, sums / np.maximum(counts, 1)[:, None]])
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """The language and score of each text: the mean over its words, as much as ``FULL_EVIDENCE`` words at most count."""
@@ -76,19 +87,11 @@ class Tables:
         full = [i for i, w in enumerate(found) if w] if self.languages else []
         if not full:
             return langs, scores
-        place, rows, picked = {}, [], []
-        for i in full:
-            for w in set(found[i]).difference(self.cache):
-                self.cache[w] = self.word(w)
-            for w in set(found[i]).difference(place):
-                place[w] = len(rows)
-                rows.append(self.cache[w])
-            picked.extend(map(place.__getitem__, found[i]))
-        if len(self.cache) > CACHE:
-            self.cache.clear()
+        every = [w for i in full for w in found[i]]
+        self._take_in(set(every))
+        picked = np.fromiter(map(self.place.__getitem__, every), np.int64, len(every))
         lengths = np.array([len(found[i]) for i in full])
-        table, picked, starts = np.array(rows), np.array(picked), np.cumsum(lengths) - lengths
-        sums = np.stack([np.add.reduceat(table[:, k][picked], starts) for k in range(len(self.languages))], axis=1)
+        sums = np.add.reduceat(self.table[picked], np.cumsum(lengths) - lengths, axis=0)
         mean = sums * (np.minimum(lengths, FULL_EVIDENCE) / lengths)[:, None]
         best = mean.argmax(axis=1)
         odds = np.exp(np.clip(mean - mean.max(axis=1, keepdims=True), -700, 0))
@@ -159,16 +162,24 @@ def tables(langs: list[str], lengths: list[int], terms: list[str], times: list[i
     return Tables(languages, kinds[0], {n: kinds[n] for n in LENGTHS}, np.concatenate(parts))
 
 
-#: Texts that are scored at once.
-TEXTS = 256
+#: Characters of the texts that are scored at once, or more if one text has more.
+CHARACTERS = 1 << 21
 
 
 def _predict(shared):
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in (b.slice(i, TEXTS) for b in batches for i in range(0, b.num_rows, TEXTS)):
-            langs, scores = model.predict(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["id", "lang_pred", "score"])
+        for batch in batches:
+            langs, scores, texts, held = [], [], [], 0
+            for text in batch.column(1).to_pylist():
+                texts.append(text)
+                held += len(text or "")
+                if held >= CHARACTERS:
+                    found = model.predict(texts)
+                    langs, scores, texts, held = langs + found[0], [*scores, found[1]], [], 0
+            found = model.predict(texts)
+            scores = np.concatenate([*scores, found[1]])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs + found[0], pa.string()), pa.array(scores, pa.float64())], ["id", "lang_pred", "score"])
 
     return predict
 
