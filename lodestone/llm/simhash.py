@@ -7,7 +7,8 @@ turn. Two fingerprints that differ in 1 to 3 bits differ in at most 2 outside on
 blocks, so their radius-1 balls over the remaining 42 or 43 bits share a variant: 131
 variants a fingerprint, none lost. Rows that share a variant are verified on all 64 bits.
 
-``keep_one`` takes a similarity of shingle sets instead of a number of bits: see ``similar``.
+``keep_one`` takes a similarity of shingle sets as well: the balls then nominate pairs, the sets
+decide, and what lies beyond the balls is nominated as ``similar`` says.
 """
 
 from __future__ import annotations
@@ -209,6 +210,14 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, D
     return rows, roots.join(least, "root").select("fp", "root", "component_id")
 
 
+def with_balls(sets: DataFrame) -> DataFrame:
+    """``sets`` (with ``fp, keys``) with one key more, which all fingerprints share that links within the radius connect."""
+    groups = connected_components(links(sets.select("fp").distinct()))
+    key = F.xxhash64(F.coalesce("component", "fp"))
+    found = sets.join(groups, F.col("fp") == F.col("node"), "left").withColumn("keys", F.concat(F.array(key), "keys"))
+    return table(found.select(*sets.columns), "nominated")
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None) -> DataFrame:
     """``docs`` with one row of each class left, all its columns unchanged.
 
@@ -218,13 +227,16 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     are one class; an empty table stays empty.
 
     Classes are those of ``near_duplicates``, or with ``similarity`` connected by pairs whose
-    sets of five-word shingles have that Jaccard similarity or more.
+    sets of five-word shingles have that Jaccard similarity or more. Pairs to verify come from
+    the balls over the SimHashes of those sets, and beyond the radius from bands of min-hashes.
     """
     if similarity is None:
         rows, labels = _labelled(docs, id_col, text_col)
         placed = rows.join(labels.select("fp", "root"), "fp").select("doc", "th", "root")
     else:
-        placed = similar.classes(docs, similarity, id_col, text_col)
+        rows = similar.keyed(docs, id_col, text_col)
+        sets = with_balls(similar.distinct_sets(rows))
+        placed = similar.classes(docs, rows, sets, similarity, id_col, text_col)
     placed = table(placed, "placed")
     order = F.struct(F.col("doc").isNull(), "doc", "th")
     first = table(placed.groupBy("root").agg(F.min(order).alias("first")), "firsts")

@@ -172,6 +172,54 @@ def test_one_of_each_similar_group_stays(spark, sf):
     assert {r.doc_id for r in simhash.keep_one(docs, similarity=0.8).collect()} == plain_similar([(r.doc_id, r.text) for r in docs.collect()])
 
 
+def plain_sketch(text):
+    words = (text or "").encode().lower().split()
+    hashes = {xxhash.xxh64_intdigest(b" ".join(words[i : i + 5])) for i in range(max(1, len(words) - 4))} if words else set()
+    found = sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hashes) * 2 > len(hashes))
+    return found - 2**64 if found >= 2**63 else found
+
+
+def test_balls_nominate_and_shingle_sets_decide(spark, sf, monkeypatch):
+    import corpus_pipeline
+
+    pick = random.Random(4)
+    texts = {900: None, 901: "", 902: "one", 903: "one two", 904: "a b c d e f"}
+    for g in range(8):
+        base = [str(pick.randrange(10**6)) for _ in range(600)]
+        for k, n in enumerate((0, 1, 1, 2, 2, 4, 60)):
+            other = list(base)
+            for i in pick.sample(range(600), n):
+                other[i] = str(pick.randrange(10**6))
+            texts[10 * g + k] = " ".join(other)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+
+    # the stage hands the SimHash of every shingle set to the balls
+    seen, links = [], simhash.links
+    monkeypatch.setattr(simhash, "links", lambda fps, *a, **k: seen.extend(r.fp for r in fps.collect()) or links(fps, *a, **k))
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, sf).collect()}
+    sketches = {d: plain_sketch(t) for d, t in texts.items()}
+    assert sorted(seen) == sorted(set(sketches.values()))
+    assert kept == plain_similar(texts.items())
+
+    # without bands, what balls connect is linked if the sets are alike, and nothing else
+    rows = similar.keyed(docs)
+    bare = similar.distinct_sets(rows).withColumn("keys", F.array().cast("array<long>"))
+    rooted = lambda sets: {r.doc: r.root for r in similar.classes(docs, rows, simhash.with_balls(sets), 0.8).collect()}
+    found = rooted(bare)
+    near = [(a, b) for a in texts for b in texts if a < b and ((sketches[a] ^ sketches[b]) % 2**64).bit_count() <= 3]
+    by_balls = classes(texts, near)
+    words = {d: (t or "").split() for d, t in texts.items()}
+    sets = {d: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for d, w in words.items()}
+    alike = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    linked = classes(texts, [(a, b) for a, b in alike if by_balls[a] == by_balls[b]])
+    assert all((found[a] == found[b]) == (linked[a] == linked[b]) for a in texts for b in texts)
+    assert len(near) > 20 and len(set(linked.values())) > len(set(classes(texts, alike).values()))  # balls link some, not all
+
+    # one ball around everything: the sets alone decide
+    found, linked = rooted(bare.withColumn("fp", F.lit(0).cast("long"))), classes(texts, alike)
+    assert all((found[a] == found[b]) == (linked[a] == linked[b]) for a in texts for b in texts)
+
+
 # Toxicity
 
 
