@@ -13,6 +13,8 @@ from lodestone.errors import UnknownKind, ValidationError
 
 #: Unicode's White_Space, the same for Java and Python.
 SPACE = r"[\t\n\x0b\f\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+#: The same for Java alone, a character at a time (no empty token stays anyway): the ranges are tried only from U+1680 on.
+SPACE_COLUMN = r"[\t\n\x0b\f\r \x85\xa0[\u1680-\u3000&&[\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]]]"
 
 
 def _keep_all(tokens: list[str]) -> list[str]:
@@ -57,8 +59,8 @@ def _for_python(pattern: str) -> str:
     return "".join(out)
 
 
-def _splitter(pattern: str) -> tuple[Callable[[list[str]], list[str]], Callable[[Column], Column], Callable[[Column], Column]]:
-    compiled = re.compile(_for_python(pattern), re.ASCII)
+def _splitter(pattern: str, on_columns: str | None = None) -> tuple[Callable[[list[str]], list[str]], Callable[[Column], Column], Callable[[Column], Column]]:
+    compiled, pattern = re.compile(_for_python(pattern), re.ASCII), on_columns or pattern
 
     def parts(token: str) -> list[str]:
         """What lies between matches; what groups hold isn't part of it."""
@@ -94,7 +96,7 @@ def step(kind: str, settings: dict | None = None) -> Step:
     if kind == "dedup":
         return Step(kind, _first_of_each, F.array_distinct)
     if kind == "whitespace":
-        return Step(kind, *_splitter(SPACE))
+        return Step(kind, *_splitter(SPACE, SPACE_COLUMN))
     if kind == "regexp":
         settings = settings or {}
         pattern = settings.get("pattern")

@@ -22,6 +22,37 @@ GUID = "guid"
 PAGE = 10_000
 
 
+def shares_keys(docs: DataFrame, key: str) -> bool:
+    """Whether any two documents have the same key, null or not; only the keys are read."""
+    return not docs.groupBy(f"`{key}`").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").isEmpty()
+
+
+def counted(docs: DataFrame, key: str, name: str) -> DataFrame:
+    """``key, token, tf, dl``: how often a text field holds each of its tokens, and its length.
+
+    A document is counted by itself, from the runs of its sorted tokens, so nothing is dealt out; documents that share
+    a key are added up. Generators are outer ones: for others Spark infers a filter that derives the tokens once more.
+    """
+    size = F.size("__tokens")
+    rows = docs.select(F.col(f"`{key}`").alias("key"), F.sort_array(leaves.tokens_column(name)).alias("__tokens"))
+    starts = F.filter(F.sequence(F.lit(0), size - 1), lambda i: (i == 0) | (F.get("__tokens", i) != F.get("__tokens", i - 1)))
+    rows = rows.withColumn("__starts", F.when(size > 0, starts))
+    rows = rows.select("*", F.posexplode_outer("__starts").alias("__run", "__at")).where("__at is not null")
+    end = F.coalesce(F.get("__starts", F.col("__run") + 1), size)
+    rows = rows.select("key", F.get("__tokens", F.col("__at")).alias("token"), (end - F.col("__at")).alias("tf"), size.alias("dl"))
+    if shares_keys(docs, key):
+        rows = rows.groupBy("key", "token").agg(F.sum("tf").cast("int").alias("tf"), F.first("dl").alias("dl"))
+    return rows
+
+
+def frequencies(docs: DataFrame, key: str, name: str) -> DataFrame:
+    """``token, df``: how many keys have a token in a text field."""
+    rows = docs.select(F.col(f"`{key}`").alias("key"), F.explode_outer(F.array_distinct(leaves.tokens_column(name))).alias("token")).where("token is not null")
+    if shares_keys(docs, key):
+        rows = rows.distinct()
+    return rows.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+
+
 @dataclass(frozen=True)
 class Inverted:
     """A text field's inverted index: ``token, key, tf, dl`` in ranges of tokens, ``token, df``, and one row of ``n_docs, average``."""

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lodestone.errors import ValidationError
 from lodestone.functions import scoring
 from lodestone.functions.analyzers import Analyzer
-from lodestone.index import GUID, Index
+from lodestone.index import GUID, Index, counted, frequencies
 from lodestone.operators import documents as rows
 from lodestone.operators import leaves
 from lodestone.plans import aggs as aggregations
@@ -259,10 +259,11 @@ def idf(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = index(spark, sf_dir, "documents")
     n = found.statistics({"n": F.count_if(F.size(leaves.tokens_column("text")) > 0)})
-    wanted = postings(found)
-    df = wanted.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    score = scoring.tfidf(F.col("cnt"), F.col("dl"), F.col("n"), F.col("df"))
-    return wanted.join(df, "token").crossJoin(F.broadcast(n)).select("doc_id", "token", F.round(score, 6).alias("tfidf"))
+    wanted = counted(found.docs, found.key, "text").withColumnRenamed("key", "doc_id")
+    df = frequencies(found.docs, found.key, "text")
+    score = scoring.tfidf(F.col("tf"), F.col("dl"), F.col("n"), F.col("df"))
+    # A row a token is held in a table of each partition: the postings, which are many times as many, need no sort.
+    return wanted.join(df.hint("shuffle_hash"), "token").crossJoin(F.broadcast(n)).select("doc_id", "token", F.round(score, 6).alias("tfidf"))
 
 
 @_add("corpus_stats", f"WITH t AS (SELECT len({WS_SQL}) AS dl FROM documents) SELECT count(*) FILTER (dl > 0) AS n_docs, sum(dl)::BIGINT AS n_tokens, round(avg(dl) FILTER (dl > 0), 6) AS avg_len FROM t")
