@@ -48,3 +48,9 @@ def test_documents_that_share_a_key_are_added_up(spark):
     assert {(r["key"], r["token"]): r["tf"] for r in found} == brute and len(found) == len(brute)
     df = {r["token"]: r["df"] for r in frequencies(_docs(spark, keys), "doc_id", "text").collect()}
     assert df == Counter(t for _, t in brute)
+
+
+def test_idf_deals_out_no_documents(spark):
+    df = QUERIES["idf"](spark, SF)
+    assert "hashpartitioning(doc_id" not in df._jdf.queryExecution().executedPlan().toString()
+    assert "size(array_remove(split" not in _plan(df).split("Generate")[-1]
