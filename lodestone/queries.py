@@ -236,15 +236,11 @@ _ranked(
 _ranked("match_boost", f"SELECT doc_id, round(2.5 * score, 6) AS score FROM ({_bm25_sql(WS_SQL, ['the', 'of']).replace(', 6) AS score', ', 12) AS score')})", match("the of"), boost=2.5)
 
 
-def postings(found: Index) -> DataFrame:
-    """``doc_id, token, cnt, dl``: the inverted index of a text field."""
-    docs = found.docs.select(found.key, F.explode(leaves.tokens_column("text")).alias("token"), F.size(leaves.tokens_column("text")).alias("dl"))
-    return docs.groupBy(found.key, "token").agg(F.count(F.lit(1)).alias("cnt"), F.first("dl").alias("dl"))
-
-
 @_add("tf", f"{TOKENS_SQL} SELECT doc_id, token, round(cnt::DOUBLE / dl, 6) AS tf FROM p")
 def tf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return postings(index(spark, sf_dir, "documents")).select("doc_id", "token", F.round(scoring.tf(F.col("cnt"), F.col("dl")), 6).alias("tf"))
+    found = index(spark, sf_dir, "documents")
+    share = scoring.tf(F.col("tf"), F.col("dl"))
+    return counted(found.docs, found.key, "text").select(F.col("key").alias("doc_id"), "token", F.round(share, 6).alias("tf"))
 
 
 @_add("idf", f"{TOKENS_SQL}, n AS (SELECT count(*) AS n FROM t WHERE len(tok) > 0) SELECT token, count(*) AS df, round(ln(any_value(n)::DOUBLE / count(*)) + 1, 6) AS idf FROM p, n GROUP BY token")

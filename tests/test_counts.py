@@ -54,3 +54,8 @@ def test_idf_deals_out_no_documents(spark):
     df = QUERIES["idf"](spark, SF)
     assert "hashpartitioning(doc_id" not in df._jdf.queryExecution().executedPlan().toString()
     assert "size(array_remove(split" not in _plan(df).split("Generate")[-1]
+
+
+def test_tf_deals_out_nothing(spark):
+    df = QUERIES["tf"](spark, SF)
+    assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
