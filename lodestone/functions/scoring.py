@@ -15,6 +15,11 @@ def term_count(tokens: Column, term: str | Column) -> Column:
     return F.size(tokens) - F.size(F.array_remove(tokens, term))
 
 
+def rounded(value: Column, digits: int = 6) -> Column:
+    """A figure of 0 or more, rounded in binary as DuckDB does; Spark's ``round`` goes through decimal text for each row."""
+    return F.floor(value * 10.0**digits + 0.5) / F.lit(10.0**digits)
+
+
 def tf(count: Column, length: Column) -> Column:
     return F.when((count > 0) & (length > 0), count / length).otherwise(0.0)
 

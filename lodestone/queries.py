@@ -240,7 +240,7 @@ _ranked("match_boost", f"SELECT doc_id, round(2.5 * score, 6) AS score FROM ({_b
 def tf(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = index(spark, sf_dir, "documents")
     share = scoring.tf(F.col("tf"), F.col("dl"))
-    return counted(found.docs, found.key, "text").select(F.col("key").alias("doc_id"), "token", F.round(share, 6).alias("tf"))
+    return counted(found.docs, found.key, "text").select(F.col("key").alias("doc_id"), "token", scoring.rounded(share).alias("tf"))
 
 
 @_add("idf", f"{TOKENS_SQL}, n AS (SELECT count(*) AS n FROM t WHERE len(tok) > 0) SELECT token, count(*) AS df, round(ln(any_value(n)::DOUBLE / count(*)) + 1, 6) AS idf FROM p, n GROUP BY token")
@@ -259,7 +259,7 @@ def tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = frequencies(found.docs, found.key, "text")
     score = scoring.tfidf(F.col("tf"), F.col("dl"), F.col("n"), F.col("df"))
     # A row a token is held in a table of each partition: the postings, which are many times as many, need no sort.
-    return wanted.join(df.hint("shuffle_hash"), "token").crossJoin(F.broadcast(n)).select("doc_id", "token", F.round(score, 6).alias("tfidf"))
+    return wanted.join(df.hint("shuffle_hash"), "token").crossJoin(F.broadcast(n)).select("doc_id", "token", scoring.rounded(score).alias("tfidf"))
 
 
 @_add("corpus_stats", f"WITH t AS (SELECT len({WS_SQL}) AS dl FROM documents) SELECT count(*) FILTER (dl > 0) AS n_docs, sum(dl)::BIGINT AS n_tokens, round(avg(dl) FILTER (dl > 0), 6) AS avg_len FROM t")
