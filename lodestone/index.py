@@ -63,12 +63,9 @@ class Inverted:
 
     @classmethod
     def of(cls, docs: DataFrame, key: str, name: str) -> Inverted:
-        tokens = F.col(leaves.tokens_column(name))
-        length = F.size(tokens)
-        rows = docs.select(F.col(f"`{key}`").alias("key"), length.alias("dl"), F.explode(tokens).alias("token"))
-        postings = rows.groupBy("token", "key").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.first("dl").alias("dl"))
+        length = F.size(leaves.tokens_column(name))
         totals = docs.agg(F.count_if(length > 0).alias("n_docs"), F.avg(F.when(length > 0, length)).alias("average"))
-        return cls(postings, postings.groupBy("token").agg(F.count(F.lit(1)).alias("df")), totals)
+        return cls(counted(docs, key, name), frequencies(docs, key, name), totals)
 
     def write(self, path: str) -> None:
         """Tokens lie in ranges, sorted, so that a query reads the row groups of its own; a frequent one may fill several files."""

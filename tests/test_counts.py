@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 
-from lodestone.index import Index, counted, frequencies
+from lodestone.index import Index, Inverted, counted, frequencies
 from lodestone.queries import ANALYZERS, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -59,3 +59,9 @@ def test_idf_deals_out_no_documents(spark):
 def test_tf_deals_out_nothing(spark):
     df = QUERIES["tf"](spark, SF)
     assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_saved_postings_are_counted_within_documents(spark):
+    held = Inverted.of(_docs(spark, list(range(len(ODD)))), "doc_id", "text")
+    assert "Exchange" not in held.postings._jdf.queryExecution().executedPlan().toString()
+    assert [f.dataType.simpleString() for f in held.postings.schema if f.name in ("tf", "dl")] == ["int", "int"]
