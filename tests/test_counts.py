@@ -65,3 +65,11 @@ def test_saved_postings_are_counted_within_documents(spark):
     held = Inverted.of(_docs(spark, list(range(len(ODD)))), "doc_id", "text")
     assert "Exchange" not in held.postings._jdf.queryExecution().executedPlan().toString()
     assert [f.dataType.simpleString() for f in held.postings.schema if f.name in ("tf", "dl")] == ["int", "int"]
+
+
+def test_saved_index_of_documents_that_share_a_key(spark, tmp_path):
+    keys = [1, None, None, 2, 1, 1, None, None]
+    Inverted.of(_docs(spark, keys), "doc_id", "text").write(str(tmp_path))
+    held, brute = Inverted.read(spark, str(tmp_path)), _brute(keys)
+    assert {(r["key"], r["token"]): r["tf"] for r in held.postings.collect()} == brute
+    assert {r["token"]: r["df"] for r in held.frequencies.collect()} == Counter(t for _, t in brute)
